@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.byte_bpe import encode_texts
+from orderloom.llm.leakage import find_leaks
+from orderloom.llm.lookalike import lookalike_pairs
 from orderloom.llm.percentiles import from_parts, multi_select, part_summary, weigh, wide
 from orderloom.llm.topn import top_n
 from orderloom.session import table
@@ -46,7 +48,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {"p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p8_ids": p8_ids,
+    "p9_found": p9_found, "p10_found": p10_found,
+}
 
 SQL = {
     "p4_found": """

@@ -92,7 +92,7 @@ class LeakIndex:
                 bits: dict[int, int] = defaultdict(int)
                 for i, x in enumerate(w):
                     bits[x] |= 1 << i
-                errors = n // 2  # a third of the words lost, and words added
+                errors = n // 2 - 1  # a third of the words lost, and words added; pieces keep two words or more
                 self.items[item] = (n, dict(bits), Counter(w), errors)
                 cuts = [round(i * n / (errors + 1)) for i in range(errors + 2)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
@@ -115,7 +115,7 @@ class LeakIndex:
                     if item not in found:
                         hits[item].append(i - offset)
         if hits:
-            have = Counter(w)
+            have = Counter(x for x in w if x >= 0)
             for item, places in hits.items():
                 if self._copied(item, places, w, have):
                     found.add(item)
@@ -133,7 +133,9 @@ class LeakIndex:
     def _copied(self, item: int, places: list[int], w: list[int], have: Counter) -> bool:
         n, bits, counts, errors = self.items[item]
         need = -(-n * 2 // 3) if self.keep == 2 / 3 else int(n * self.keep + 0.999999)
-        # no more words can be kept than the text has at all
+        # no more words can be kept than the text has at all; first by kinds of word, then by number
+        if have.total() < need or sum(map(counts.__getitem__, counts.keys() - have.keys())) > n - need:
+            return False
         if sum(min(c, have[x]) for x, c in counts.items()) < need:
             return False
         places.sort()

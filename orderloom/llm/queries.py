@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.byte_bpe import encode_texts
+from orderloom.llm.canonical import items_of_lines
 from orderloom.llm.leakage import find_leaks
 from orderloom.llm.lookalike import lookalike_pairs
 from orderloom.llm.percentiles import from_parts, multi_select, part_summary, weigh, wide
 from orderloom.llm.topn import top_n
+from orderloom.operators.asof import items_by_buyer_code
 from orderloom.session import table
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "order_lines_holdout")
+    by_code = items_by_buyer_code(lines, table(spark, sf_dir, "customer_sku_map"))
+    return items_of_lines(lines, table(spark, sf_dir, "order_line_label"), table(spark, sf_dir, "catalogue_item"), by_code)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(table(spark, sf_dir, "match_event"), "line_id", "item_code", "score", "rank")
 
@@ -57,7 +65,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found,
 }
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orderloom.plans import core_problems
+from orderloom.plans import core_problems, ledger
 
-_PARTS = [core_problems]
+_PARTS = [core_problems, ledger]
 
 
 def queries() -> dict:

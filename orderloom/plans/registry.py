@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orderloom.plans import core_problems, ledger
+from orderloom.plans import core_problems, ledger, matching, matching_sql
 
-_PARTS = [core_problems, ledger]
+_PARTS = [core_problems, ledger, matching]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q for part in _PARTS for name, q in part.SQL.items()}
+    return {name: q for part in (core_problems, ledger, matching_sql) for name, q in part.SQL.items()}

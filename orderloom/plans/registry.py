@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orderloom.plans import core_problems, ledger, matching, matching_sql
+from orderloom.plans import core_problems, ledger, matching, matching_sql, ranking
 
-_PARTS = [core_problems, ledger, matching]
+_PARTS = [core_problems, ledger, matching, ranking]
 
 
 def queries() -> dict:

@@ -48,7 +48,7 @@ _QUANTITY = [
 _MEASURES = [
     # pattern, maker of the token
     (regex.compile(r"(?<![\p{L}\d.])(m?)\s?(\d+(?:\.\d+)?)\s*(?:x|\*|by)\s*(\d+(?:\.\d+)?)(?!\d)"), lambda m: f"#{m[1]}{_num(m[2])}x{_num(m[3])}"),
-    (regex.compile(r"(?<![\p{L}\d])(\d+)[- ](\d)/(\d)\s*(?:\"|''|in(?:ch(?:es)?)?\b)"), lambda m: f"#in{_num(float(m[1]) + float(m[2]) / max(1, float(m[3])))}"),
+    (regex.compile(r"(?<![\p{L}\d.])(\d+)[- ](\d)/(\d)\s*(?:\"|''|in(?:ch(?:es)?)?\b)"), lambda m: f"#in{_num(float(m[1]) + float(m[2]) / max(1, float(m[3])))}"),
     (regex.compile(r"(?<![\p{L}\d/])(\d+)/(\d+)\s*(?:\"|''|in(?:ch(?:es)?)?\b)"), lambda m: f"#in{_num(float(m[1]) / max(1, float(m[2])))}"),
     (regex.compile(r"(?<![\p{L}\d/.])(\d+(?:\.\d+)?)\s*(?:\"|''|in(?:ch(?:es)?)?\b)"), lambda m: f"#in{_num(m[1])}"),
     (regex.compile(rf"(?<![\p{{L}}\d/.])({_N})\s*(mm|cm|kgs?|g|gr|gm|ml|ltr|l|m)\b"), lambda m: _measure(m[1], m[2])),

@@ -64,9 +64,9 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 512,
             kept = live.join(side, same("g", "sg") & (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")), "left_semi")
             live = cut(kept, "live")
             held = live.count()
-        pivot = _pivots(possible)
+        pivot = _pivots(possible).withColumnsRenamed({"sg": "pg", "q": "pq"})
         counted = (
-            possible.join(F.broadcast(pivot) if side is not states else pivot, ["sg", "q"])
+            possible.join(F.broadcast(pivot) if side is not states else pivot, same("sg", "pg") & (F.col("q") == F.col("pq")))
             .groupBy("sg", "q", "k", "lo", "hi", "p")
             .agg(F.sum(F.when(F.col("v") < F.col("p"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") == F.col("p"), F.col("w")).otherwise(0)).alias("at"))
         )

@@ -211,7 +211,7 @@ class Matcher:
     """Maps values to the entries of one tenant's list."""
 
     #: Accept at this share of the value's weight explained; every word that is no filler must be explained by LEAST.
-    THRESHOLD, MARGIN, LEAST = 0.62, 0.035, 0.5
+    THRESHOLD, MARGIN, LEAST, NEARLY = 0.62, 0.035, 0.5, 0.2
 
     def __init__(self, entries: list[tuple[str, str, str, str]], aliases: dict[str, dict[str, float]] | None = None, fillers: frozenset[str] = frozenset()):
         self.entries = [Entry(*e) for e in sorted(set(entries))]
@@ -243,7 +243,10 @@ class Matcher:
                     out[part] = max(out.get(part, 0), s * 0.98)
         for w, s in self.aliases.get(word, {}).items():
             out[w] = max(out.get(w, 0), s)
-        return out
+        # a word of the list stands for itself, another for what is nearly as near as the nearest
+        best = max(out.values(), default=0)
+        least = 0.95 if best >= 0.99 else best - self.NEARLY
+        return {w: s for w, s in out.items() if s >= least}
 
     def read(self, value: str) -> tuple[list[str], list[str], list[str], bool]:
         """Words, measures, measures that may be a quantity, and whether bulk is written."""

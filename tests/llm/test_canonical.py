@@ -5,6 +5,7 @@ LIST = [
     ("V20Z", "Stavrik  GATE VALVE DN20 Bronze", "Stavrik", "Gate Valve"), ("T20", "Torvexa Gate Valve DN20 Brass", "Torvexa", "Gate Valve"), ("C1", "Torvexa Pipe Clamp 1-1/4\" Rubber Lined", "Torvexa", "Pipe Clamp"),
     ("C2", "Torvexa Pipe Clamp 1/4\" Rubber Lined", "Torvexa", "Pipe Clamp"), ("S1", "Kålvik Shrimp Ring Cooked 40 pcs", "Kålvik", "Shrimp Ring"), ("S2", "Kålvik Shrimp Ring Cooked 28 pcs", "Kålvik", "Shrimp Ring"),
     ("D1", "Stavrik Chain Link 3mm Long", "Stavrik", "Chain Link"), ("D2", "Stavrik Chain Link 3mm Long", "Stavrik", "Chain Link"), ("B1", "Kålvik Cod Loin 0.75kg Breaded", "Kålvik", "Cod Loin"),
+    ("C3", "Stavrik Pipe Clamp 2\" Unlined", "Stavrik", "Pipe Clamp"),
 ]
 FILLERS = frozenset(["pls", "send", "urgent", "code", "as", "per", "our"])
 
@@ -16,6 +17,7 @@ def test_values():
         "Stav. Gate Valve DN 20 bronze (5 ctn)": "V20Z", "Gate Valve DN20 Brass": UNMATCHED, "Torvexa Gate Valve DN15 Brass": UNMATCHED, "Torvexa Gate Valve DN20 Bronze": UNMATCHED,
         "Torvexa/Pipe/Clamp/1-1/4\"/Rubber/Lined": "C1", "Torvexa pipe clamp 1 1/4 inch RBR LND": "C1", "Torvexa Pipe Clamp 1/4” rubber lined": "C2", "Torvexa Pipe Clamp": UNMATCHED,
         "Kalvik Shrimp Ring Cooked 40 pcs - 25 pcs": "S1", "40 pcs Shrimp Ring Cooked Kålvik": "S1", "KÅLV1K SHR1MP RING 28 pcs": "S2", "Stavrik Chain Link 3mm Long": UNMATCHED,
+        "Torvexa Pipe Clamp 1/4\" Unlined": UNMATCHED, "Stavrik pipe clamp 2 inch unlned": "C3",
         "Stavrik Chain Link 0.3cm Short": UNMATCHED, "Kålvik CodLoin 750g Breaded": "B1", "Zorblax Gate Valve DN20 Brass": UNMATCHED, "as per our code": NOTHING, "": NOTHING, None: NOTHING, "----": NOTHING,
         "Kålvik Cod Loin 0.75kg Breaded" + " pls" * 3000: "B1",
     }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orderloom.plans import core_problems, ledger, matching, matching_sql, ranking
+from orderloom.plans import audit, core_problems, ledger, matching, matching_sql, ranking
 
-_PARTS = [core_problems, ledger, matching, ranking]
+_PARTS = [core_problems, ledger, matching, ranking, audit]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q for part in (core_problems, ledger, matching_sql) for name, q in part.SQL.items()}
+    return {name: q for part in (core_problems, ledger, matching_sql, audit) for name, q in part.SQL.items()}

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.session import cut
+
 #: Latin letters and the Cyrillic and Greek letters drawn alike.
 ALIKE = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ",
@@ -222,12 +224,11 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     replaced by its documents. Exact copies are never paired with each other, so
     a text with very many copies costs what its links to other texts cost.
     """
-    from orderloom.session import cut
-
     hashed = cut(unified(docs, key, text, keep_text=False).drop("unified").where("look IS NOT NULL"), "looks")
-    texts = hashed.groupBy("look", "same").agg(F.count(F.lit(1)).alias("n"))
-    several = texts.groupBy("look").agg(F.collect_set("same").alias("all")).where("size(all) > 1")
-    links = several.select("look", F.explode("all").alias("same"), "all").select("look", "same", F.explode("all").alias("other")).where("same < other")
+    texts = hashed.select("look", "same").distinct()
+    several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
+    texts = texts.join(several, "look", "left_semi")
+    links = texts.join(texts.withColumnRenamed("same", "other"), "look").where("same < other")
     left = links.join(hashed.select("look", "same", F.col(key).alias("x")), ["look", "same"])
     right = hashed.select("look", F.col("same").alias("other"), F.col(key).alias("y"))
     pairs = left.join(right, ["look", "other"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.byte_bpe import encode_texts
 from orderloom.llm.canonical import items_of_lines
 from orderloom.llm.leakage import find_leaks
-from orderloom.llm.lookalike import lookalike_pairs
+from orderloom.llm.lookalike import _LATIN_OF, lookalike_pairs
 from orderloom.llm.percentiles import from_parts, multi_select, part_summary, weigh, wide
 from orderloom.llm.topn import top_n
 from orderloom.operators.asof import items_by_buyer_code
@@ -69,7 +70,25 @@ QUERIES = {
     "p9_found": p9_found, "p10_found": p10_found,
 }
 
+
+
+def _looks_sql(c: str) -> str:
+    """The look of a text where no joiner stands between joining letters: unseen characters out, then letter by letter."""
+    pairs = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(m): latin for m, latin in _LATIN_OF.items()} | dict.fromkeys("\u2010\u2011\ufe63", "-") | {"\u212a": "K"}
+    pairs |= {unicodedata.normalize("NFC", chr(m) + mark): unicodedata.normalize("NFC", latin + mark) for m, latin in _LATIN_OF.items() for mark in "\u0308\u0300\u0301"}
+    pairs = {a: b for a, b in pairs.items() if len(a) == 1 and len(b) == 1}
+    quote = lambda t: t.replace("'", "''")
+    out = f"regexp_replace(regexp_replace({c}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
+    for ch, to in (("\ufb01", "fi"), ("\ufb02", "fl"), ("\u2167", "VIII")):
+        out = f"replace({out}, '{ch}', '{to}')"
+    return f"nfc_normalize(translate(nfc_normalize({out}), '{quote(''.join(pairs))}', '{quote(''.join(pairs.values()))}'))"
+
+
 SQL = {
+    "p10_found": f"""
+WITH k AS (SELECT doc_id, text, {_looks_sql("text")} AS look FROM documents WHERE text IS NOT NULL),
+l AS (SELECT * FROM k WHERE trim(look, chr(9) || chr(10) || chr(13) || ' ') <> '')
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p4_found": """
 WITH e AS (
     SELECT line_id, item_code, score, rank, row_number() OVER (PARTITION BY line_id, item_code ORDER BY score DESC, rank ASC NULLS LAST) AS k

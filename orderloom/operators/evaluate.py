@@ -53,16 +53,19 @@ def sweep(decisions: DataFrame, confidences: list[float] | None = None, margins:
     """One row per pair of limits: how many decisions pass both, how many of those are right.
 
     decisions: confidence, margin, correct (boolean). Each decision is counted in
-    the cell of the highest limits it passes; cells (at most the grid's size) are
-    then summed from the top, so decisions are read once, not once per pair.
+    the cell of the highest limits it passes; a cell (there are at most as many as
+    pairs) then counts for every pair below it, so decisions are read once.
     """
     spark = decisions.sparkSession
     cs, ms = confidences or CONFIDENCES, margins or MARGINS
     cell = lambda c, edges: F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: F.col(c) >= e))
     cells = decisions.groupBy(cell("confidence", cs).alias("ci"), cell("margin", ms).alias("mi")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("right"))
+    steps = lambda c: F.explode(F.sequence(F.lit(1), F.col(c)))
+    passed = cells.where("ci > 0 AND mi > 0").select("n", "right", "mi", steps("ci").alias("gi")).select("n", "right", "gi", steps("mi").alias("gj"))
+    sums = passed.groupBy("gi", "gj").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
     grid = spark.createDataFrame([(i + 1, j + 1, c, m) for i, c in enumerate(cs) for j, m in enumerate(ms)], "gi int, gj int, confidence_limit double, margin_limit double")
-    joined = grid.join(F.broadcast(cells), (F.col("ci") >= F.col("gi")) & (F.col("mi") >= F.col("gj")), "left")
-    out = joined.groupBy("confidence_limit", "margin_limit").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("passed"), F.coalesce(F.sum("right"), F.lit(0)).cast("long").alias("correct"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    out = grid.join(sums, ["gi", "gj"], "left").select("confidence_limit", "margin_limit", zero("n", "passed"), zero("right", "correct"))
     return out.withColumn("precision", safe_divide(F.col("correct"), F.col("passed")))
 
 
@@ -103,9 +106,9 @@ def bootstrap(groups: DataFrame, samples: int = 2000, seed: int = 1729) -> DataF
     samples x rows.
     """
     spark = groups.sparkSession
-    size = groups.agg(F.count(F.lit(1)).alias("g"))
-    draws = spark.range(samples).withColumnRenamed("id", "s").join(F.broadcast(size)).select("s", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("d"))
-    slot = (F.col("s") * 7919 + F.col("d") * 104729 + F.col("s") * F.col("d") * 31 + seed) % F.col("g")
+    size = groups.count()
+    draws = spark.range(samples).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, size - 1)).cast("long"))).alias("d"))
+    slot = (F.col("s") * 7919 + F.col("d") * 104729 + F.col("s") * F.col("d") * 31 + seed) % max(1, size)
     per = draws.select("s", slot.alias("slot")).join(groups, "slot").groupBy("s").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
     rate = per.select(safe_divide(F.col("hits"), F.col("total")).alias("r"))
     w = Window.orderBy("r")

@@ -22,11 +22,11 @@ def previous_second(stamp: Column | str) -> Column:
 def page_with_ties(feed: DataFrame, order: str, size: int, since: str | None = None) -> DataFrame:
     """The first ``size`` rows after ``since`` in order of ``order``, and every further row of the last one's stamp.
 
-    The boundary is found from counts per stamp: the driver sees one value.
+    The driver sees one value, the boundary.
     """
     rows = feed.where(F.col(order).isNotNull() & (F.lit(True) if since is None else F.col(order) > since))
-    last = rows.select(order).orderBy(order).limit(size).agg(F.max(order).alias("_last"))
-    return rows.join(F.broadcast(last), F.col(order) <= F.col("_last")).drop("_last")
+    last = rows.select(order).orderBy(order).limit(size).agg(F.max(order)).first()[0]
+    return rows.where(F.col(order) <= last) if last is not None else rows
 
 
 def conflicts(feed: DataFrame, local: DataFrame) -> DataFrame:

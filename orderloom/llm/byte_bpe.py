@@ -33,8 +33,8 @@ class PerfectHash:
     """A minimal perfect hash of byte strings to ids, by displacement.
 
     Keys fall into buckets by one hash; buckets, the fullest first, take the
-    first displacement under which all their keys land on free slots; n keys
-    fill n slots. A lookup is one hash, one displacement and one comparison with
+    first displacement under which all their keys land on free slots, and those
+    of one key name a slot that is left; n keys fill n slots. A lookup is one hash, one displacement and one comparison with
     the stored key, which turns keys that are not in the set into misses.
     """
 
@@ -42,14 +42,22 @@ class PerfectHash:
         self.keys: list[bytes] = [b""] * len(items)
         self.ids = np.zeros(len(items), np.int64)
         n = self.n = len(items)
-        self.buckets = max(1, n // 4)
+        self.buckets = max(1, n // 3)
         self.shift = np.zeros(self.buckets, np.int64)
         groups: dict[int, list[tuple[int, int, bytes]]] = {}
         for key in items:
             h, a, b = self._hashes(key)
             groups.setdefault(h, []).append((a, b, key))
         taken = bytearray(n)
+        free = 0
         for h, members in sorted(groups.items(), key=lambda g: -len(g[1])):
+            if len(members) == 1:
+                while taken[free]:
+                    free += 1
+                taken[free] = 1
+                self.shift[h] = -free - 1
+                self.keys[free], self.ids[free] = members[0][2], items[members[0][2]]
+                continue
             d = 0
             while True:
                 slots = {(a + d * b + (d // n)) % n for a, b, _ in members}
@@ -74,7 +82,7 @@ class PerfectHash:
             return -1
         h, a, b = self._hashes(key)
         d = self._shift[h]
-        s = (a + d * b + (d // self.n)) % self.n
+        s = (a + d * b + (d // self.n)) % self.n if d >= 0 else -d - 1
         return self._ids[s] if self.keys[s] == key else -1
 
 

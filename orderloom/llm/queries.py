@@ -45,7 +45,7 @@ def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from summaries of days that are joined, within 0.5 %."""
     days = part_summary(_latencies(spark, sf_dir), "tenant_id", F.substring("created_at", 1, 10), "latency_ms")
-    return from_parts(days, "tenant_id", QUANTILES)
+    return from_parts(days, "tenant_id", QUANTILES).select("tenant_id", "n", *(F.round(c, 6).alias(c) for c in QUANTILES))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -95,6 +95,13 @@ WITH e AS (
     FROM match_event WHERE score >= 0 AND score <= 1 AND NOT isnan(score) AND line_id IS NOT NULL AND item_code IS NOT NULL),
 r AS (SELECT line_id, item_code, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, rank ASC NULLS LAST, item_code) AS place FROM e WHERE k = 1)
 SELECT line_id, item_code, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""",
+    "p7_from_days": """
+WITH e AS (SELECT DISTINCT event_id, tenant_id, latency_ms::DOUBLE AS v FROM match_event WHERE latency_ms >= 0),
+b AS (SELECT tenant_id, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.005e0 / 0.995e0)) ELSE -2147483648 END AS bucket, count(*) AS n FROM e GROUP BY 1, 2),
+r AS (SELECT *, sum(n) OVER (PARTITION BY tenant_id ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY tenant_id) AS total,
+    CASE WHEN bucket = -2147483648 THEN 0 ELSE 2 * pow(1.005e0 / 0.995e0, bucket) / (1.005e0 / 0.995e0 + 1) END AS m FROM b)
+SELECT tenant_id, any_value(total)::BIGINT AS n, round(min(m) FILTER (run >= greatest(1, ceil(0.5e0 * total))), 6) AS p50, round(min(m) FILTER (run >= greatest(1, ceil(0.95e0 * total))), 6) AS p95,
+    round(min(m) FILTER (run >= greatest(1, ceil(0.99e0 * total))), 6) AS p99 FROM r GROUP BY 1""",
     "p7_percentiles": """
 SELECT tenant_id, quantile_disc(latency_ms, 0.5)::BIGINT AS p50, quantile_disc(latency_ms, 0.95)::BIGINT AS p95, quantile_disc(latency_ms, 0.99)::BIGINT AS p99
 FROM (SELECT DISTINCT event_id, tenant_id, latency_ms FROM match_event WHERE latency_ms >= 0) GROUP BY tenant_id""",

@@ -78,6 +78,27 @@ def best_point(points: DataFrame, minimum_precision: float) -> DataFrame:
     return points.orderBy(F.desc(enough), F.desc(F.when(enough, F.col("passed")).otherwise(0)), F.desc("precision"), F.desc("passed"), F.desc("confidence_limit"), F.asc("margin_limit")).limit(1)
 
 
+def gates(metrics: DataFrame, minima: dict[str, float], maxima: dict[str, float]) -> DataFrame:
+    """(check, key, detail) of measures that fall below a least value or rise above a greatest one.
+
+    metrics: one row with a column per measure. A measure that is missing or
+    null fails its gate; an empty result passes.
+    """
+    have = set(metrics.columns)
+    tests = []
+    for name, limits, below in (("below_minimum", minima, True), ("above_maximum", maxima, False)):
+        for column, limit in limits.items():
+            v = F.col(column).cast("double") if column in have else F.lit(None).cast("double")
+            fails = v.isNull() | ((v < limit) if below else (v > limit))
+            tests.append(F.when(fails, F.struct(F.lit(name).alias("check"), F.lit(column).alias("key"), F.coalesce(v.cast("string"), F.lit("missing")).alias("detail"))))
+    return metrics.select(F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull())))
+
+
+def chart_points(points: DataFrame, x: str, y: str, highest: bool = True) -> DataFrame:
+    """One point per x: the highest y of it, or the lowest."""
+    return points.groupBy(x).agg((F.max(y) if highest else F.min(y)).alias(y))
+
+
 def calibration(spark: SparkSession, scored: DataFrame) -> DataFrame:
     """(low, high, n, mean_confidence, share_correct) per bin of confidence; empty bins have zeros.
 

@@ -116,6 +116,15 @@ def test_measures(spark):
     assert [(b.n, b.mean_confidence, b.share_correct) for b in bins] == [(0, 0, 0), (1, 0.5, 1.0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (2, 0.99, 0.5)]
 
 
+def test_gates_and_chart_points(spark):
+    m = spark.createDataFrame([(0.9, 0.4, None)], "precision double, coverage double, cost double")
+    got = {tuple(r) for r in E.gates(m, {"precision": 0.95, "coverage": 0.3}, {"cost": 1.0, "coverage": 0.3, "other": 1.0}).collect()}
+    assert got == {("below_minimum", "precision", "0.9"), ("above_maximum", "cost", "missing"), ("above_maximum", "coverage", "0.4"), ("above_maximum", "other", "missing")}
+    assert E.gates(m, {"precision": 0.9}, {}).count() == 0
+    p = spark.createDataFrame([(0.1, 1.0), (0.1, 2.0), (0.2, 3.0)], "x double, y double")
+    assert {tuple(r) for r in E.chart_points(p, "x", "y").collect()} == {(0.1, 2.0), (0.2, 3.0)}
+
+
 def test_bootstrap_and_folds(spark):
     g = spark.createDataFrame([(0, 9, 10), (1, 5, 10), (2, 8, 10)], "slot long, hits long, total long")
     a, b = (E.bootstrap(g, 300).first() for _ in range(2))

@@ -23,8 +23,8 @@ from orderloom.llm.lookalike import looks
 _TAG = regex.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
-#: Items per pass over the corpus; the index of one block is sent to the workers.
-BLOCK = 20_000
+#: Items, and characters of their texts, per pass over the corpus; the index of one block is sent to the workers.
+BLOCK, BLOCK_CHARS = 20_000, 20_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -162,12 +162,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     A passage is ``run`` (12) words in a row, or the whole of a shorter item. A
     near copy, looked for where an item has more than 20 words, keeps two thirds
     of its words in order. Items without words and null texts never match; equal
-    items are each reported. Test items are taken in blocks of BLOCK, each a pass
-    over the corpus without a shuffle, so their number is not limited by memory.
+    items are each reported. Test items are taken in blocks of about BLOCK items
+    and BLOCK_CHARS characters, each a pass over the corpus without a shuffle, so
+    their number is not limited by memory.
     """
     spark = docs.sparkSession
     known = items.select(F.col(item_key).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    blocks = max(1, -(-known.count() // BLOCK))
+    n, chars = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-chars // BLOCK_CHARS))
     schema = docs.select(F.col(doc_key), F.lit(None).cast(items.schema[item_key].dataType).alias(item_key)).schema
     kind = schema[item_key].dataType
     out = None

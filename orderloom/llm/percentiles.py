@@ -48,9 +48,10 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 512,
     )
     states = cut(states, "states")
     live, answers = values, []
+    small = states.count() <= BROADCAST_STATES  # rounds only ever settle states
     held = live.count()
     for _ in range(max_rounds):
-        side = F.broadcast(states) if states.count() <= BROADCAST_STATES else states
+        side = F.broadcast(states) if small else states
         possible = live.join(side, same("g", "sg") & (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).select("sg", "q", "k", "lo", "hi", "v", "w")
         left = possible.groupBy("sg", "q").count().agg(F.max("count"), F.sum("count")).first()
         if left[0] is None:
@@ -66,7 +67,7 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 512,
             held = live.count()
         pivot = _pivots(possible).withColumnsRenamed({"sg": "pg", "q": "pq"})
         counted = (
-            possible.join(F.broadcast(pivot) if side is not states else pivot, same("sg", "pg") & (F.col("q") == F.col("pq")))
+            possible.join(F.broadcast(pivot) if small else pivot, same("sg", "pg") & (F.col("q") == F.col("pq")))
             .groupBy("sg", "q", "k", "lo", "hi", "p")
             .agg(F.sum(F.when(F.col("v") < F.col("p"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") == F.col("p"), F.col("w")).otherwise(0)).alias("at"))
         )

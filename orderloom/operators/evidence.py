@@ -16,6 +16,10 @@ FEATURES = [
     "size_overlap", "size_completeness", "unit_match", "active_twin", "identifier_conflict", "attribute_conflict",
 ]
 
+#: Shares of the heuristic score, what an attribute conflict costs, and the most confidence without an identifier.
+WEIGHTS = {"fuzzy": 0.35, "word": 0.25, "char": 0.25, "brand_match": 0.08, "family_overlap": 0.07, "size_overlap": 0.08, "unit_match": 0.03}
+CONFLICT_COST, MOST = 0.25, 0.995
+
 
 def hybrid_candidates(lines: DataFrame, items: DataFrame, aliases: DataFrame, k: int = 20) -> DataFrame:
     """(line_id, tenant, q, item_code, word, char, a flag per exact lane, alias) of every lane's candidates.
@@ -73,10 +77,9 @@ def evidence(candidates: DataFrame, lines: DataFrame, items: DataFrame) -> DataF
     rows = rows.withColumn("attribute_conflict", (F.col("_both_numbers") & (F.col("size_overlap") < 1)) | F.col("_unit_conflict")).drop("_both_numbers", "_unit_conflict")
     n = lambda c: F.col(c).cast("double")
     identifier = F.greatest(n("item_code_exact"), n("barcode_exact"), n("part_number_exact"), F.when(F.col("alias_exact"), F.col("alias_confidence")).otherwise(0.0))
-    text = 0.35 * F.col("fuzzy") + 0.25 * F.col("word") + 0.25 * F.col("char") + 0.08 * n("brand_match") + 0.07 * F.col("family_overlap")
-    score = F.greatest(identifier, F.least(F.lit(1.0), text + 0.08 * F.col("size_overlap") + 0.03 * n("unit_match")))
-    rows = rows.withColumn("score", score)
-    return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(0.995), F.col("score") - 0.25 * n("attribute_conflict"))))
+    weighted = sum((n(f) * w for f, w in WEIGHTS.items()), F.lit(0.0))
+    rows = rows.withColumn("score", F.greatest(identifier, F.least(F.lit(1.0), weighted)))
+    return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(MOST), F.col("score") - CONFLICT_COST * n("attribute_conflict"))))
 
 
 def ranked(rows: DataFrame, k: int = 20) -> DataFrame:

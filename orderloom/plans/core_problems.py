@@ -24,7 +24,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = BucketedTable(spark, new_path(spark, "state"))
+    # as many buckets as tasks, so that a bucket stays the size of a task's share
+    state = BucketedTable(spark, new_path(spark, "state"), max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     state.apply(table(spark, sf_dir, "change_feed"))
     return state.read().select("external_id", "version", "change_id")
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.session import cut
+
 
 def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """Rows that are copied in every column, once: one of each key, the largest by all columns."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, "r.*")
+    """Rows that are copied in every column, once; rows without key are dropped.
+
+    A distinct over all columns aggregates by hash, where one row per key picked
+    from structs would sort.
+    """
+    return df.where(F.col(key).isNotNull()).distinct()
 
 
 def day_of(stamp: Column | str) -> Column:
@@ -68,7 +73,9 @@ def health_report(lines: DataFrame, events: DataFrame, items: DataFrame, first_d
     line = line.where(inside("day"))
     groups = line.groupBy("tenant_id", "channel", "day").agg(F.count_distinct("line_id").alias("lines_total"), F.count_distinct("customer_id").alias("distinct_customers"))
 
-    seen = event.join(line.select("line_id", "channel"), "line_id")
+    # written once, narrow: four groupings and a join read it
+    event = cut(event, "events")
+    seen = cut(event.join(line.select("line_id", "channel"), "line_id"), "seen")
     by_channel = seen.groupBy("tenant_id", "channel", "day").agg(
         F.count_distinct(F.when(F.col("accepted") == 1, F.col("line_id"))).alias("lines_accepted"), F.count(F.lit(1)).alias("candidates_considered")
     )

@@ -25,7 +25,7 @@ def weigh(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.select(F.col(group).alias("group_id"), v.alias("v")).where((v >= 0) & ~F.isnan(v)).groupBy("group_id", "v").agg(F.count(F.lit(1)).alias("w"))
 
 
-def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 512, max_rounds: int = 200) -> DataFrame:
+def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 2048, max_rounds: int = 200) -> DataFrame:
     """(group_id, q, v): the exact nearest-rank quantiles of each group.
 
     Each round every partition proposes the weighted median of the values that

@@ -47,6 +47,11 @@ def p7_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_parts(days, "tenant_id", QUANTILES).select("tenant_id", "n", *(F.round(c, 6).alias(c) for c in QUANTILES))
 
 
+def p7_day_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries of days themselves, as they are kept and joined later."""
+    return part_summary(_latencies(spark, sf_dir, "created_at"), "tenant_id", F.substring("created_at", 1, 10), "latency_ms")
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     """The folder is the parameter ORDERLOOM_TOKENIZERS; unset, the one of this image."""
     return os.path.join(os.environ.get("ORDERLOOM_TOKENIZERS", "/opt/tokenizers"), name)
@@ -65,7 +70,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p8_ids": p8_ids,
+    "p1_found": p1_found, "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p7_day_parts": p7_day_parts, "p8_ids": p8_ids,
     "p9_found": p9_found, "p10_found": p10_found,
 }
 
@@ -94,6 +99,9 @@ WITH e AS (
     FROM match_event WHERE score >= 0 AND score <= 1 AND NOT isnan(score) AND line_id IS NOT NULL AND item_code IS NOT NULL),
 r AS (SELECT line_id, item_code, row_number() OVER (PARTITION BY line_id ORDER BY score DESC, rank ASC NULLS LAST, item_code) AS place FROM e WHERE k = 1)
 SELECT line_id, item_code, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""",
+    "p7_day_parts": """
+WITH e AS (SELECT DISTINCT event_id, tenant_id, latency_ms::DOUBLE AS v, substr(created_at, 1, 10) AS part FROM match_event WHERE latency_ms >= 0)
+SELECT tenant_id, part, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.005e0 / 0.995e0))::INTEGER ELSE (-2147483648)::INTEGER END AS bucket, count(*) AS n FROM e GROUP BY 1, 2, 3""",
     "p7_from_days": """
 WITH e AS (SELECT DISTINCT event_id, tenant_id, latency_ms::DOUBLE AS v FROM match_event WHERE latency_ms >= 0),
 b AS (SELECT tenant_id, CASE WHEN v > 0 THEN ceil(ln(v) / ln(1.005e0 / 0.995e0)) ELSE -2147483648 END AS bucket, count(*) AS n FROM e GROUP BY 1, 2),

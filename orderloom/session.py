@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -44,9 +43,24 @@ def _forget(url: str) -> None:
     shutil.rmtree(url.removeprefix("file://"), ignore_errors=True)
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/orderloom/{label}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, below a folder of this application that goes when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/orderloom/{app}-{uuid.uuid4().hex[:8]}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        atexit.register(_drop, folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder)
+    return f"{_FOLDERS[app]}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _drop(files, folder) -> None:
+    try:
+        files.delete(folder, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone; the files are then left to the cluster's own cleaning
+        pass
 
 
 def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None) -> DataFrame:

@@ -5,7 +5,11 @@ and bounded in error from parts that can be joined.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,15 +92,34 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 2048
     return out
 
 
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted median and weight of each (sg, q) within each batch of a partition (columns sg, q, v, w)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        groups, kinds = pd.factorize(batch.column(0).to_pandas(), use_na_sentinel=False)[0], pd.factorize(batch.column(1).to_numpy())[0]
+        key = groups.astype(np.int64) * (kinds.max() + 1) + kinds
+        order = np.lexsort((batch.column(2).to_numpy(), key))
+        run = np.cumsum(batch.column(3).to_numpy()[order])
+        last = np.flatnonzero(np.append(np.diff(key[order]) != 0, True))
+        before = np.append(0, run[last[:-1]])
+        weight = run[last] - before
+        # the first value at which the running weight reaches half of its group's
+        middle = order[np.searchsorted(run, before + (weight + 1) // 2)]
+        at = pa.array(middle)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(weight)], names=["sg", "q", "v", "w"])
+
+
 def _pivots(possible: DataFrame) -> DataFrame:
-    """(sg, q, p): the weighted median of the medians that partitions propose."""
-    part = F.spark_partition_id().alias("part")
-    # the partition is part of the key, so a proposal is made where the values lie
-    w = Window.partitionBy("sg", "q", "part").orderBy("v")
-    local = possible.select("sg", "q", part, "v", "w").withColumn("run", F.sum("w").over(w)).withColumn("all", F.sum("w").over(Window.partitionBy("sg", "q", "part")))
-    proposed = local.where((F.col("run") * 2 >= F.col("all")) & ((F.col("run") - F.col("w")) * 2 < F.col("all"))).select("sg", "q", "v", F.col("all").alias("w"))
-    w2 = Window.partitionBy("sg", "q").orderBy("v", "w").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = proposed.withColumn("run", F.sum("w").over(w2)).withColumn("all", F.sum("w").over(Window.partitionBy("sg", "q")))
+    """(sg, q, p): the weighted median of the medians that partitions propose.
+
+    Proposals are made where the values lie, so only they are shuffled: one per
+    (group, quantile) and batch.
+    """
+    rows = possible.select("sg", "q", "v", "w")
+    proposed = rows.mapInArrow(_propose, rows.schema)
+    w = Window.partitionBy("sg", "q").orderBy("v", "w").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = proposed.withColumn("run", F.sum("w").over(w)).withColumn("all", F.sum("w").over(Window.partitionBy("sg", "q")))
     return ranked.where(F.col("run") * 2 >= F.col("all")).groupBy("sg", "q").agg(F.min("v").alias("p"))
 
 

@@ -117,20 +117,25 @@ def calibration(spark: SparkSession, scored: DataFrame) -> DataFrame:
     )
 
 
+def draws(spark: SparkSession, size: int, samples: int, seed: int) -> DataFrame:
+    """(s, slot): size slots of 0 to size - 1 drawn with replacement for each sample s, by hash."""
+    every = spark.range(samples).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, size - 1)).cast("long"))).alias("d"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("s").cast("string"), F.col("d").cast("string")))
+    return every.select("s", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % max(1, size)).alias("slot"))
+
+
 def bootstrap(groups: DataFrame, samples: int = 2000, seed: int = 1729) -> DataFrame:
     """95 % interval of hits / total when whole groups are drawn again with replacement.
 
     groups: slot (0, 1, ... without gaps), hits, total; one row per group. Sample
-    s draws as many groups as there are, its draw d being slot
-    (s * 7919 + d * 104729 + s * d * 31 + seed) mod groups: any engine computes
-    the same. Draws are made per slot, so the work is samples x groups, not
-    samples x rows.
+    s draws as many groups as there are, its draw d being the slot that the first
+    15 hex digits of md5('seed|s|d') give modulo the number of groups: any engine
+    computes the same. Draws are made per slot, so the work is samples x groups,
+    not samples x rows.
     """
     spark = groups.sparkSession
     size = groups.count()
-    draws = spark.range(samples).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, size - 1)).cast("long"))).alias("d"))
-    slot = (F.col("s") * 7919 + F.col("d") * 104729 + F.col("s") * F.col("d") * 31 + seed) % max(1, size)
-    per = draws.select("s", slot.alias("slot")).join(groups, "slot").groupBy("s").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    per = draws(spark, size, samples, seed).join(groups, "slot").groupBy("s").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
     rate = per.select(safe_divide(F.col("hits"), F.col("total")).alias("r"))
     w = Window.orderBy("r")
     ranked = rate.withColumn("k", F.row_number().over(w) - 1)  # samples rows, a parameter

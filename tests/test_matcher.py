@@ -133,3 +133,15 @@ def test_bootstrap_and_folds(spark):
     got = {r.k: r.fold for r in E.folds(rows, "k", 3).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "d": 2, "e": 1}
     assert E.folds(rows.limit(0), "k", 3).count() == 0
+
+
+def test_bootstrap_draws_with_replacement(spark):
+    # 41 groups, a prime: a slot linear in the draw would take every group exactly once
+    rows = E.draws(spark, 41, 200, 1729).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("kinds"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert len(rows) == 200 and all(r.n == 41 and r.low >= 0 and r.high < 41 for r in rows)
+    assert max(r.kinds for r in rows) < 41 and 25 < sum(r.kinds for r in rows) / 200 < 27.1  # 41 * (1 - (1 - 1/41) ** 41) = 26.1
+    g = spark.createDataFrame([(i, i * i % 97, 100) for i in range(41)], "slot long, hits long, total long")
+    b = E.bootstrap(g, 400).first()
+    mean = sum(i * i % 97 for i in range(41)) / 4100
+    sd = (sum((i * i % 97 / 100 - mean) ** 2 for i in range(41)) / 41) ** 0.5 / 41**0.5
+    assert abs((b.high - b.low) / (2 * 1.96 * sd) - 1) < 0.2 and b.low < mean < b.high

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.text import normalise_order_text, normalise_text, normalise_unit, numeric_tokens, overlap, token_set
-from orderloom.operators import lanes, tfidf
+from orderloom.operators import fuzzy, lanes, tfidf
 from orderloom.operators.fuzzy import weighted_ratio_column
 from orderloom.session import cut
 
@@ -22,25 +22,27 @@ CONFLICT_COST, MOST = 0.25, 0.995
 
 
 def hybrid_candidates(lines: DataFrame, items: DataFrame, aliases: DataFrame, k: int = 20) -> DataFrame:
-    """(line_id, tenant, q, item_code, word, char, a flag per exact lane, alias) of every lane's candidates.
+    """(line_id, tenant, q, item_code, word, char, fuzzy_lane, a flag per exact lane, alias) of every lane's candidates.
 
-    A lexical score that a lane didn't rank among its k best is 0. Lines are
-    joined to the lexical lanes by their distinct query text.
+    A word or character score that its lane didn't rank among its k best is 0;
+    fuzzy_lane is null there. Lines are joined to the lexical lanes by their
+    distinct query text.
     """
     items = cut(items, "items")
     live = items.where("enabled AND NOT misc")
     docs = live.select("tenant", "item_code", F.col("search_text").alias("text"))
     asked = cut(lines.select("line_id", "tenant", normalise_order_text(F.concat_ws(" ", "raw_text", "notes")).alias("q")), "asked")
-    lexical = tfidf.top_k(asked, docs, tfidf.word_grams, k).select("tenant", "q", "item_code", F.col("score").alias("word"), F.lit(0.0).alias("char"))
-    lexical = lexical.unionByName(tfidf.top_k(asked, docs, tfidf.char_grams, k).select("tenant", "q", "item_code", F.lit(0.0).alias("word"), F.col("score").alias("char")))
-    lexical = lexical.groupBy("tenant", "q", "item_code").agg(F.max("word").alias("word"), F.max("char").alias("char"))
+    lexical = tfidf.top_k(asked, docs, tfidf.word_grams, k).select("tenant", "q", "item_code", F.col("score").alias("word"), F.lit(0.0).alias("char"), F.lit(None).cast("double").alias("fuzzy_lane"))
+    lexical = lexical.unionByName(tfidf.top_k(asked, docs, tfidf.char_grams, k).select("tenant", "q", "item_code", F.lit(0.0).alias("word"), F.col("score").alias("char"), F.lit(None).cast("double").alias("fuzzy_lane")))
+    lexical = lexical.unionByName(fuzzy.top_k(asked, docs, k).select("tenant", "q", "item_code", F.lit(0.0).alias("word"), F.lit(0.0).alias("char"), F.col("score").alias("fuzzy_lane")))
+    lexical = lexical.groupBy("tenant", "q", "item_code").agg(*(F.max(c).alias(c) for c in ("word", "char", "fuzzy_lane")))
     exact = lanes.identifier_lanes(lines, items).groupBy("line_id", "item_code").agg(*(F.max(F.col("lane") == n).alias(f"{n}_exact") for n in ("item_code", "barcode", "part_number")))
     alias = lanes.alias_lane(lines, aliases, items).where("live").select("line_id", "item_code", F.lit(True).alias("alias_exact"), F.col("confidence").alias("alias_confidence"))
-    by_text = asked.join(lexical, ["tenant", "q"]).select("line_id", "item_code", "word", "char")
+    by_text = asked.join(lexical, ["tenant", "q"]).select("line_id", "item_code", "word", "char", "fuzzy_lane")
     every = by_text.join(exact, ["line_id", "item_code"], "full").join(alias, ["line_id", "item_code"], "full")
     no, zero = F.lit(False), F.lit(0.0)
     return every.join(asked, "line_id").select(
-        "line_id", "tenant", "q", "item_code", *(F.coalesce(c, zero).alias(c) for c in ("word", "char")),
+        "line_id", "tenant", "q", "item_code", *(F.coalesce(c, zero).alias(c) for c in ("word", "char")), "fuzzy_lane",
         *(F.coalesce(c, no).alias(c) for c in ("item_code_exact", "barcode_exact", "part_number_exact", "alias_exact")), F.coalesce("alias_confidence", zero).alias("alias_confidence"),
     )
 
@@ -65,10 +67,11 @@ def evidence(candidates: DataFrame, lines: DataFrame, items: DataFrame) -> DataF
     both = candidates.join(line, "line_id").join(item, ["tenant", "item_code"])
     conflict = F.sum(F.col("_id").cast("int")).over(Window.partitionBy("line_id")) > 1
     both = both.withColumn("_id", F.col("item_code_exact") | F.col("barcode_exact") | F.col("part_number_exact") | F.col("alias_exact")).withColumn("identifier_conflict", conflict)
-    # fuzzy ratios are costly per row, so rows are spread whatever their size in bytes
+    # a ratio is computed only where the fuzzy lane gives none: ratios are costly per row, so rows are spread whatever their size in bytes
     both = both.repartition(n_parts, "line_id", "item_code")
     rows = both.select(
-        *candidates.columns, "identifier_conflict", "active_twin", weighted_ratio_column(F.col("q"), F.col("search_text")).alias("fuzzy"),
+        *(c for c in candidates.columns if c != "fuzzy_lane"), "identifier_conflict", "active_twin",
+        F.coalesce("fuzzy_lane", weighted_ratio_column(F.when(F.col("fuzzy_lane").isNull(), F.col("q")), F.col("search_text"))).alias("fuzzy"),
         ((F.col("brand_text") != "") & F.contains("lt", "brand_text")).alias("brand_match"), overlap(F.col("l_tokens"), F.col("family")).alias("family_overlap"),
         overlap(F.col("l_numbers"), F.col("i_numbers")).alias("size_overlap"), overlap(F.col("i_numbers"), F.col("l_numbers")).alias("size_completeness"),
         ((F.col("unit") != "") & F.array_contains("units", F.col("unit"))).alias("unit_match"), ((F.col("unit") != "") & ~F.array_contains("units", F.col("unit"))).alias("_unit_conflict"),

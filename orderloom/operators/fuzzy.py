@@ -7,12 +7,20 @@ longer, its best part of the other's length is compared instead.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.session import cut
+
+#: Entries that are sent to the workers at once; more are taken in blocks, each with a pass over the queries.
+BLOCK_ENTRIES = 20_000
+
 
 def common(a: str, b: str) -> int:
     """Length of the longest common subsequence (bit-parallel)."""
@@ -114,3 +122,174 @@ def weighted_ratio_column(a: Column, b: Column) -> Column:
         return pd.Series([weighted_ratio(p, q) / 100.0 for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return score(a, b)
+
+
+class Entries:
+    """A list of texts that finds the best of them for a query by the weighted ratio, exactly.
+
+    The longest common subsequence with a whole text bounds that with any part of
+    it. It is computed for all texts at once, one bit per character of the query;
+    only entries whose bound reaches the k-th best score so far are compared in full.
+    """
+
+    BITS, STEP = 64, 64
+
+    def __init__(self, entries: list[tuple[str, str]]):
+        entries = sorted(entries)
+        self.codes, self.texts = [c for c, _ in entries], [t for _, t in entries]
+        self.letters = {ch: i + 1 for i, ch in enumerate(sorted({ch for t in self.texts for ch in t} | {" "}))}
+        self.forms = [self._form(f) for f in zip(*map(self._shapes, self.texts), strict=True)]
+        words: dict[str, list[int]] = defaultdict(list)
+        for i, t in enumerate(self.texts):
+            for w in set(t.split()):
+                words[w].append(i)
+        self.words = {w: np.array(i) for w, i in words.items()}
+
+    @staticmethod
+    def _shapes(text: str) -> tuple[str, str, str]:
+        return text, " ".join(sorted(text.split())), " ".join(sorted(set(text.split())))
+
+    def _form(self, texts: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters as numbers (position x text, 0 past the end) and lengths."""
+        lens = np.array([len(t) for t in texts])
+        grid = np.zeros((int(lens.max()), len(texts)), np.uint16)
+        for i, t in enumerate(texts):
+            grid[: len(t), i] = [self.letters[ch] for ch in t]
+        return grid, lens
+
+    def _bits(self, part: str) -> np.ndarray:
+        bits = [0] * (len(self.letters) + 1)
+        for i, ch in enumerate(part):
+            if ch in self.letters:
+                bits[self.letters[ch]] |= 1 << i
+        return np.array(bits, np.uint64)
+
+    def _most_common(self, form: int, q: str, rows: np.ndarray | None = None) -> np.ndarray:
+        """Length of the longest common subsequence; of queries over 64 characters an upper bound (the sum over their parts)."""
+        grid = self.forms[form][0] if rows is None else self.forms[form][0][:, rows]
+        total = np.zeros(grid.shape[1], np.int64)
+        for at in range(0, len(q), self.BITS):
+            part = q[at : at + self.BITS]
+            full = np.uint64((1 << len(part)) - 1)
+            v = np.full(grid.shape[1], full)
+            for eq in self._bits(part)[grid]:
+                u = v & eq
+                v = (v + u) | (v - u)
+            total += len(part) - np.bitwise_count(v & full).astype(np.int64)
+        return total
+
+    def _best_part(self, form: int, q: str, rows: np.ndarray) -> np.ndarray:
+        """The partial ratio of q (at most 64 characters and no longer than the texts) to each text."""
+        n, (grid, lens) = len(q), self.forms[form]
+        if not n:
+            return np.zeros(len(rows))
+        bits = self._bits(q)[grid[:, rows].T]
+        wide = np.zeros((len(rows), bits.shape[1] + 2 * n - 2), np.uint64)
+        wide[:, n - 1 : n - 1 + bits.shape[1]] = bits
+        starts = wide.shape[1] - n + 1
+        full = np.uint64((1 << n) - 1)
+        v = np.full((len(rows), starts), full)
+        for j in range(n):
+            eq = wide[:, j : j + starts]
+            u = v & eq
+            v = (v + u) | (v - u)
+        shared = n - np.bitwise_count(v & full).astype(np.int64)
+        first = np.arange(starts) - (n - 1)
+        size = np.minimum(first + n, lens[rows][:, None]) - np.maximum(first, 0)
+        return np.where(size > 0, 200.0 * shared / (n + np.maximum(size, 1)), 0.0).max(axis=1)
+
+    def _exact(self, q: str, shapes: tuple[str, str, str], rows: np.ndarray, shares: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        lens = [f[1][rows] for f in self.forms]
+        fast = (lens[0] >= 1.5 * len(q)) & (lens[1] >= len(shapes[1])) & (lens[2] >= len(shapes[2])) & (len(q) <= self.BITS)
+        for i in np.flatnonzero(~fast):
+            out[i] = weighted_ratio(q, self.texts[rows[i]])
+        at = np.flatnonzero(fast)
+        if len(at):
+            tokens = np.full(len(at), 100.0)
+            apart = np.flatnonzero(~shares[rows[at]])
+            if len(apart):
+                r = rows[at[apart]]
+                tokens[apart] = np.maximum(self._best_part(1, shapes[1], r), self._best_part(2, shapes[2], r))
+            scale = np.where(lens[0][at] / len(q) <= 8, 0.9, 0.6)
+            out[at] = np.maximum(np.maximum(plain[rows[at]], 0.95 * scale * tokens), scale * self._best_part(0, q, rows[at]))
+        return out
+
+    def top(self, q: str, k: int) -> list[tuple[str, float]]:
+        """(code, ratio from 0 to 1) of the k best, by ratio, then code. Ratios of 0 count too."""
+        if not q or not self.texts:
+            return []
+        shapes, lens = self._shapes(q), self.forms[0][1]
+        shares = np.zeros(len(lens), bool)
+        for w in set(q.split()):
+            if w in self.words:
+                shares[self.words[w]] = True
+        least, size = np.minimum(lens, len(q)), np.maximum(lens, len(q)) / np.maximum(1, np.minimum(lens, len(q)))
+        wide, scale = size >= 1.5, np.where(size <= 8, 0.9, 0.6)
+        part = lambda c, short: 200.0 * np.minimum(c, short) / np.maximum(1, short + np.minimum(c, short))
+        c = self._most_common(0, q)
+        plain = 200.0 * c / (lens + len(q))
+        tokens, whole = np.full(len(lens), 100.0), np.full(len(lens), 100.0)
+        apart = np.flatnonzero(~shares)
+        if len(apart):
+            both = [(self._most_common(f, shapes[f], apart), self.forms[f][1][apart], len(shapes[f])) for f in (1, 2)]
+            tokens[apart] = np.maximum(*(part(c, np.minimum(m, n)) for c, m, n in both))
+            whole[apart] = np.maximum(*(200.0 * c / np.maximum(1, m + n) for c, m, n in both))
+        at_most = np.where(wide, np.maximum(np.maximum(plain, 0.95 * scale * tokens), scale * part(c, least)), np.maximum(plain, 0.95 * whole))
+        at_most[lens == 0] = 0.0
+        score = np.where(wide & shares, 0.95 * scale * 100.0, 0.0)
+        order = np.flatnonzero(at_most > score + 1e-9)
+        order = order[np.argsort(-at_most[order], kind="stable")]
+        for i in range(0, len(order), self.STEP):
+            kth = np.partition(score, -k)[-k] if len(score) > k else 0.0
+            rows = order[i : i + self.STEP]
+            rows = rows[at_most[rows] >= kth - 1e-5]
+            if not len(rows):
+                break
+            score[rows] = self._exact(q, shapes, rows, shares, plain)
+        score = np.round(score / 100.0, 8)
+        return [(self.codes[i], float(score[i])) for i in np.argsort(-score, kind="stable")[:k]]
+
+
+_ENTRIES: dict[str, dict[str, Entries]] = {}
+
+
+def _entries(key: str, block: dict[str, list[tuple[str, str]]]) -> dict[str, Entries]:
+    """Lists of a worker process, made once per block."""
+    if key not in _ENTRIES:
+        _ENTRIES.clear()
+        _ENTRIES[key] = {t: Entries(e) for t, e in block.items()}
+    return _ENTRIES[key]
+
+
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 20, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """(tenant, q, item_code, score, place): the k best entries of the tenant by weighted ratio of each distinct query text.
+
+    queries: tenant, q. docs: tenant, item_code, text. Ties by code; scores of 0
+    are kept, so a text has k candidates unless it is empty or the list shorter.
+    """
+    spark = queries.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = cut(docs.select("tenant", "item_code", F.coalesce("text", F.lit("")).alias("text")).where("tenant IS NOT NULL").distinct(), "docs")
+    asked = cut(queries.select("tenant", "q").where("tenant IS NOT NULL AND q <> ''").distinct(), "asked")
+    blocks = max(1, -(-docs.count() // block_entries))
+    schema = "tenant string, q string, item_code string, score double"
+    out = None
+    for b in range(blocks):
+        block: dict[str, list[tuple[str, str]]] = defaultdict(list)
+        for r in docs.where(F.pmod(F.xxhash64("tenant", "item_code"), F.lit(blocks)) == b).collect():
+            block[r["tenant"]].append((r["item_code"], r["text"]))
+        shared, key = spark.sparkContext.broadcast(dict(block)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared, key=key) -> Iterator[pd.DataFrame]:
+            lists = _entries(key, shared.value)
+            for batch in batches:
+                for at in range(0, len(batch), 1000):
+                    rows = [(t, q, c, s) for t, q in zip(batch["tenant"][at : at + 1000], batch["q"][at : at + 1000], strict=True) if t in lists for c, s in lists[t].top(q, k)]
+                    yield pd.DataFrame(rows, columns=["tenant", "q", "item_code", "score"])
+
+        # tasks by rows, not by bytes: the work of a text is the whole list
+        part = asked.repartition(n, "tenant", "q").mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("tenant", "q").orderBy(F.desc("score"), F.asc("item_code"))
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions import text as T
-from orderloom.operators import evaluate, feed, lanes, quality, tfidf
+from orderloom.operators import evaluate, feed, fuzzy, lanes, quality, tfidf
 from orderloom.operators.cow_table import latest_changes
 from orderloom.session import table
 
@@ -90,10 +90,15 @@ def lane_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # retrieval -------------------------------------------------------------------
 
 
-def _retrieved(spark: SparkSession, sf_dir: str, grams, k: int) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Query texts of the lines, and the live entries they are looked up in."""
     docs = _items(spark, sf_dir).where("enabled AND NOT misc").select("tenant", "item_code", F.col("search_text").alias("text"))
     queries = _lines(spark, sf_dir).select("tenant", T.normalise_order_text(F.concat_ws(" ", "raw_text", "notes")).alias("q"))
-    return tfidf.top_k(queries, docs, grams, k)
+    return queries, docs
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, grams, k: int) -> DataFrame:
+    return tfidf.top_k(*_asked(spark, sf_dir), grams, k)
 
 
 def tfidf_word_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +109,11 @@ def tfidf_char_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retrieved(spark, sf_dir, tfidf.char_grams, 20)
 
 
+def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: neither engine has the ratio."""
+    return fuzzy.top_k(*_asked(spark, sf_dir), 20)
+
+
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled lines whose item is among the first 1, 3 and 20 of the word lane."""
     hits = tfidf_word_topk(spark, sf_dir)
@@ -227,7 +237,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_normalise, identifier_normalise, token_sets, non_item_filter, error_token_scan, segment_case, exact_lanes, alias_interval_join, identifier_conflict,
-        active_twins, alias_collisions, lane_quality, tfidf_word_topk, tfidf_char_topk, recall_at_k, fk_violations, duplicate_groups, count_of_counts, unit_checks,
+        active_twins, alias_collisions, lane_quality, tfidf_word_topk, tfidf_char_topk, fuzzy_topk, recall_at_k, fk_violations, duplicate_groups, count_of_counts, unit_checks,
         schema_profile, distinct_profile, category_drift, median_profile, value_counts, feed_page_with_ties, feed_conflicts, feed_pull, feed_invariants, push_decisions,
         idempotency_key, utc_shift, grouped_folds,
     )

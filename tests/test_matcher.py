@@ -2,6 +2,7 @@ import math
 
 from orderloom.operators import evaluate as E
 from orderloom.operators import evidence as EV
+from orderloom.operators import fuzzy as Z
 from orderloom.operators import lanes as L
 from orderloom.operators import tfidf as X
 from pyspark.sql import functions as F
@@ -145,3 +146,28 @@ def test_bootstrap_draws_with_replacement(spark):
     mean = sum(i * i % 97 for i in range(41)) / 4100
     sd = (sum((i * i % 97 / 100 - mean) ** 2 for i in range(41)) / 41) ** 0.5 / 41**0.5
     assert abs((b.high - b.low) / (2 * 1.96 * sd) - 1) < 0.2 and b.low < mean < b.high
+
+
+def test_fuzzy_lane_is_the_brute_force_one(spark):
+    words = "gate valve brass pipe clamp rubber lined hex bolt steel frozen fish cooked made for sold by the piece workshop".split()
+    texts = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 2 + i % 13)) for i in range(60)] + ["", "gate", "xxxx"]
+    asked = ["gaet vlave brss", "clamp", "bolt hex stel m", "zq", "frozen fish cooked made for sold by the piece workshop frozen fish cooked made for sold", "pipe clamp rubber lined hex bolt", ""]
+    docs = spark.createDataFrame([("t", f"C{i:02}", x) for i, x in enumerate(texts)] + [("u", "A", "gate valve")], "tenant string, item_code string, text string")
+    queries = spark.createDataFrame([(t, q) for q in asked * 2 for t in ("t", "u")], "tenant string, q string")
+    want = {q: sorted((-round(Z.weighted_ratio(q, x) / 100, 8), f"C{i:02}") for i, x in enumerate(texts))[:20] for q in asked if q}
+    for block_entries in (1000, 25):
+        got = {}
+        for r in Z.top_k(queries, docs, 20, block_entries).where("tenant = 't'").orderBy("q", "place").collect():
+            got.setdefault(r.q, []).append((-r.score, r.item_code))
+        assert got == want
+    assert Z.top_k(queries, docs, 20).where("tenant = 'u'").count() == len(asked) - 1
+
+
+def test_fuzzy_lane_alone_gives_candidates(spark):
+    cat = items(spark)
+    # shares no gram with any entry, so only the fuzzy lane has candidates: all live ones of the tenant
+    line = spark.createDataFrame([("1", "nordic", "c", "2026-01-01", "nzrf", "", "", "", "", "1")], LINE)
+    aliases = spark.createDataFrame([], "tenant string, customer_id string, customer_sku string, item_code string, valid_from string, valid_to string, source string, confidence double")
+    found = EV.hybrid_candidates(line, cat, aliases)
+    got = EV.evidence(found, line, cat).collect()
+    assert [(r.item_code, r.word, r.char) for r in got] == [("NRD-FISH1", 0.0, 0.0)] and got[0].fuzzy == round(Z.weighted_ratio(got[0].q, cat.where("tenant = 'nordic'").first().search_text) / 100, 8) > 0

@@ -30,6 +30,9 @@ UNMATCHED = "UNMATCHED"
 #: What mapping a value gives besides a code: nothing of the list is named, or what is named is no one entry.
 NOTHING = ""
 
+#: Fixed value: confirmed values of a tenant in which a word must be left over to be learned from, whatever their number.
+LEAST_SEEN = 3
+
 #: Most entries of one block of the reference list; more are taken in blocks of whole tenants.
 BLOCK_ENTRIES = 200_000
 
@@ -348,10 +351,9 @@ def learned(counts: list[tuple[str, str, int]], labelled: int, single: bool = Fa
     n counts confirmed values in which the word was left over: with '' if nothing
     of the entry was open (or nothing was named), else with each open word; with
     None in all. A word that mostly leaves nothing open says nothing; one that
-    mostly comes with the same open word stands for it. Words seen less than 3
-    times, or less than once in 100,000 confirmed values, aren't learned from.
+    mostly comes with the same open word stands for it. Words seen less than
+    LEAST_SEEN times aren't learned from, however many values are confirmed (labelled).
     """
-    least = max(3, labelled // 100_000)
     all_, empty = {}, {}
     pairs: dict[str, dict[str, int]] = defaultdict(dict)
     for word, target, n in counts:
@@ -364,7 +366,7 @@ def learned(counts: list[tuple[str, str, int]], labelled: int, single: bool = Fa
     aliases: dict[str, dict[str, float]] = {}
     fillers = set()
     for word, n in all_.items():
-        if n < least:
+        if n < LEAST_SEEN:
             continue
         if empty.get(word, 0) >= 0.6 * n:
             fillers.add(word)
@@ -376,6 +378,19 @@ def learned(counts: list[tuple[str, str, int]], labelled: int, single: bool = Fa
     return aliases, frozenset(fillers)
 
 
+def _decided(counts: DataFrame, single: bool) -> DataFrame:
+    """(tenant, word, target, n, all) of learned words only, by the rules of learned(): target '' for fillers, else what the word stands for."""
+    of = Window.partitionBy("tenant", "word")
+    n, all_, target = F.col("n"), F.col("all"), F.col("target")
+    seen = counts.withColumn("all", F.max(F.when(target.isNull(), n)).over(of)).where(all_ >= LEAST_SEEN).where("target IS NOT NULL")
+    seen = seen.withColumn("filler", F.coalesce(F.max(F.when(target == "", n)).over(of), F.lit(0)) >= all_ * 0.6)
+    seen = seen.withColumn("share", F.when((target != "") & (n >= all_ * 0.5), F.lit(0.95) * n / all_))
+    seen = seen.withColumn("kept", F.coalesce(F.col("share") >= F.max("share").over(of) - 0.2, F.lit(False)))
+    alias = F.col("kept") & ((F.sum(F.col("kept").cast("int")).over(of) == 1) if single else F.lit(True))
+    seen = seen.withColumn("alias", alias)
+    return seen.where((F.col("filler") & (target == "")) | (~F.col("filler") & F.col("alias"))).select("tenant", "word", "target", "n", "all")
+
+
 _MATCHERS: dict[str, dict[str, Matcher]] = {}
 
 
@@ -412,8 +427,6 @@ def _learn(confirmed: DataFrame, block: dict[str, list[tuple]]) -> dict[str, tup
     spark = confirmed.sparkSession
     model = {t: (e, {}, frozenset()) for t, e in block.items()}
     rows = confirmed.where(F.col("tenant").isin(list(block)))
-    labelled = rows.count()
-    least = max(3, labelled // 100_000)
     for single in (True, False):
         shared = spark.sparkContext.broadcast(model)
         key = uuid.uuid4().hex
@@ -436,13 +449,11 @@ def _learn(confirmed: DataFrame, block: dict[str, list[tuple]]) -> dict[str, tup
                 yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.string()) for i in range(3)] + [pa.array(list(total.values()), pa.int64())], names=["tenant", "word", "target", "n"])
 
         counts = rows.select("tenant", "value", "code").mapInArrow(residues, "tenant string, word string, target string, n long").groupBy("tenant", "word", "target").agg(F.sum("n").alias("n"))
-        # a word seen often enough has at most 100,000 x words per value fellows; counts of its targets below half of that don't matter
-        often = counts.where("n >= 1").withColumn("all", F.max(F.when(F.col("target").isNull(), F.col("n"))).over(Window.partitionBy("tenant", "word")))
         per: dict[str, list] = defaultdict(list)
-        for r in often.where((F.col("all") >= least) & (F.col("n") * 2 >= F.col("all"))).collect():
-            per[r["tenant"]].append((r["word"], r["target"], r["n"]))
+        for r in _decided(counts, single).collect():
+            per[r["tenant"]] += [(r["word"], None, r["all"]), (r["word"], r["target"], r["n"])]
         for t, (e, aliases, _) in model.copy().items():
-            more, fillers = learned(per.get(t, []), labelled, single)
+            more, fillers = learned(per.get(t, []), len(per.get(t, [])), single)
             model[t] = (e, aliases | more, fillers)
     return model
 

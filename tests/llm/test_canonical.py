@@ -1,4 +1,4 @@
-from orderloom.llm.canonical import NOTHING, UNMATCHED, Matcher, items_of_lines, learned, plain, split
+from orderloom.llm.canonical import NOTHING, UNMATCHED, Matcher, _decided, items_of_lines, learned, plain, split
 
 LIST = [
     ("V15", "Stavrik Gate Valve DN15 Brass", "Stavrik", "Gate Valve"), ("V20", "Stavrik Gate Valve DN20 Brass", "Stavrik", "Gate Valve"), ("V20B", "Stavrik Gate Valve DN20 Brass (Bulk)", "Stavrik", "Gate Valve"),
@@ -60,3 +60,16 @@ def test_empty(spark):
     assert items_of_lines(lines, labels, cat, none).count() == 0
     one = frames(spark, [("1", "t", "Stavrik Gate Valve DN20 Brass")], [])[0]
     assert [r.item_code for r in items_of_lines(one, labels, cat.limit(0), none).collect()] == [UNMATCHED]
+
+
+def test_what_is_learned_does_not_depend_on_how_much_is_confirmed(spark):
+    counts = [("injap", None, 3), ("injap", "valve", 3), ("tq", None, 3), ("tq", "", 2), ("rare", None, 2), ("rare", "valve", 2)]
+    aliases, fillers = learned(counts, 3_000_000)
+    assert (aliases, fillers) == learned(counts, 100) and aliases.keys() == {"injap"} and fillers == {"tq"}
+    counts += [("two", None, 10), ("two", "a", 8), ("two", "b", 7), ("far", None, 10), ("far", "a", 9), ("far", "b", 5), ("mixed", None, 9), ("mixed", "a", 3)]
+    df = spark.createDataFrame([(t, *c) for c in counts for t in ("t", "u")], "tenant string, word string, target string, n long")
+    for single in (True, False):
+        rows = _decided(df, single).where("tenant = 't'").collect()
+        aliases, fillers = learned(counts, 0, single)
+        assert {r.word for r in rows} == aliases.keys() | fillers and len(rows) == len(fillers) + sum(map(len, aliases.values()))
+        assert learned([x for r in rows for x in ((r.word, None, r["all"]), (r.word, r.target, r.n))], 0, single) == (aliases, fillers)

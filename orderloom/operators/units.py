@@ -202,7 +202,7 @@ def quantities(lines: DataFrame) -> DataFrame:
         for p in _IN_TEXT
     ))
     in_cells = F.col("q").isNotNull() | label.isNotNull()
-    found = F.when(in_cells, written).when(F.col("text").rlike("[0-9½¼¾]|qty"), free)
+    found = F.when(in_cells, written).otherwise(free)
     places = base.select("line_id", "tenant", "text", in_cells.alias("in_cells"), F.posexplode(found).alias("place", "f")).where("f.number <> ''")
     run = F.when(F.col("in_cells"), "").otherwise(F.regexp_replace(F.concat("f.number", "f.unit"), r"\s+", ""))
     return places.select(

@@ -1,6 +1,6 @@
 from hypothesis import given
 from hypothesis import strategies as st
-from orderloom.operators.units import number_of, quantities_in_stock_unit, unit_aliases, weighted_distance
+from orderloom.operators.units import number_of, quantities, quantities_in_stock_unit, unit_aliases, weighted_distance
 from pyspark.sql import functions as F
 
 CAT = "tenant string, item_code string, item_name string, stock_uom string, uom_conversions string, unit string"
@@ -48,6 +48,13 @@ def test_missing_everything(spark):
     assert milli(spark, [("GONE", "1", "pcs", None), ("BOLT", None, None, None)]) == [None, None]
 
 
+def test_numbers_as_words_in_free_text(spark):
+    text = "two boxes of latex gloves"
+    lines = spark.createDataFrame([("1", "t", None, None, text), ("2", "t", None, None, "latex gloves")], "line_id string, tenant string, qty string, uom_text string, raw_text string")
+    got = [(r.line_id, float(r.number), r.spelling) for r in quantities(lines).collect()]
+    assert got == [("1", 2.0, "boxes")]
+
+
 def test_aliases_of_slips(spark):
     words = ["cartn", "cartonn", "kilogrm", "bxes", "pakcet", "zz", "boxer", "g", "x" * 60, None]
     got = {r.spelling: r.unit for r in unit_aliases(spark.createDataFrame([(w,) for w in words], "spelling string")).collect()}

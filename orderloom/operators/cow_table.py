@@ -3,15 +3,20 @@
 A table is a folder of Parquet buckets (hash of the key) and of manifests.
 ``apply`` hashes the base by key, routes the changes to their buckets, merges
 only the buckets that a change touches, writes replacement files beside the old
-ones and commits a manifest that names the files which hold now. A reader sees
-the old or the new manifest, never a mixture; a job that dies before the commit
-leaves files that no manifest names.
+ones and commits a manifest that names the files which hold now. Every write has
+a folder of its own, so no writer touches files of another, and a manifest's
+name is taken once: of two writers that start from one manifest the second
+raises and leaves the table as the first made it. A reader sees the old or the
+new manifest, never a mixture; a job that dies before the commit leaves files
+that no manifest names.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,32 +70,54 @@ class BucketedTable:
 
     # manifests ----------------------------------------------------------
     def _manifest(self) -> dict | None:
+        """The manifest of the highest number. One that is still being written (not whole JSON) is none yet."""
         folder = self._hpath(f"{self.path}/manifests")
         if not self._fs.exists(folder):
             return None
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-        if not numbers:
-            return None
-        stream = self._fs.open(self._hpath(f"{self.path}/manifests/{max(numbers)}.json"))
+        for number in sorted(numbers, reverse=True):
+            stream = self._fs.open(self._hpath(f"{self.path}/manifests/{number}.json"))
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except json.JSONDecodeError:
+                continue
+            finally:
+                stream.close()
+        return None
+
+    def _write(self, path, text: str) -> None:
+        out = self._fs.create(path, False)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            out.write(bytearray(text.encode()))
         finally:
-            stream.close()
-        return json.loads(text)
+            out.close()
 
     def _commit(self, manifest: dict) -> None:
-        """Written under another name, then renamed: rename fails if another writer was first."""
-        number = manifest["number"]
-        draft = self._hpath(f"{self.path}/manifests/.{number}.draft")
-        out = self._fs.create(draft, True)
+        """Takes the manifest's name if no other writer has it; else raises and changes nothing.
+
+        On a local file system a whole draft is linked to the name, which fails
+        where the name exists. Elsewhere the file is created without overwriting,
+        which HDFS and object stores decide in one step.
+        """
+        target = self._hpath(f"{self.path}/manifests/{manifest['number']}.json")
+        text = json.dumps(manifest, sort_keys=True)
+        jvm = self.spark._jvm
         try:
-            out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        finally:
-            out.close()
-        target = self._hpath(f"{self.path}/manifests/{number}.json")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise RuntimeError(f"manifest {number} of {self.path} was committed by another writer")
+            if self._fs.getUri().getScheme() == "file":
+                draft = self._hpath(f"{self.path}/manifests/.{uuid.uuid4().hex}.draft")
+                self._write(draft, text)
+                local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    jvm.java.nio.file.Files.createLink(local(target), local(draft))
+                finally:
+                    self._fs.delete(draft, False)
+            else:
+                self._write(target, text)
+        except Py4JJavaError as e:
+            if self._fs.exists(target):
+                raise RuntimeError(f"manifest {manifest['number']} of {self.path} was committed by another writer") from e
+            raise
 
     # data -----------------------------------------------------------------
     def _files(self, manifest: dict | None, only: set[int] | None = None) -> DataFrame:
@@ -106,30 +133,49 @@ class BucketedTable:
     def apply(self, changes: DataFrame) -> list[int]:
         """Applies a batch; returns the buckets it rewrote (at most ``buckets`` numbers)."""
         old = self._manifest() or {"number": 0, "buckets": self.buckets, "files": {}}
-        number = old["number"] + 1
+        write = f"{old['number'] + 1}-{uuid.uuid4().hex[:12]}"
         bucket = F.pmod(F.xxhash64("external_id"), F.lit(self.buckets)).cast("int").alias("bucket")
-        routed = f"{self.path}/routed/{number}"
-        latest_changes(changes).select("*", bucket).write.mode("overwrite").parquet(routed)
-        incoming = self.spark.read.schema(f"{STATE}, bucket int").parquet(routed)
-        touched = {r.bucket for r in incoming.select("bucket").distinct().collect()}
-        if not touched:
-            return []
-        held = {b for b in touched if str(b) in old["files"]}
-        merged = incoming
-        if held:
-            base = self._files(old, held).select("*", bucket)
-            merged = self._merge(base, incoming)
-        data = f"data/{number}"
-        (
-            merged.repartition(len(touched), "bucket")
-            .sortWithinPartitions("bucket", "external_id")
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{data}")
-        )
-        files = old["files"] | {str(b): f"{data}/bucket={b}" for b in touched}
-        self._commit({"number": number, "buckets": self.buckets, "files": files})
-        self._fs.delete(self._hpath(routed), True)
+        routed, data = f"{self.path}/routed/{write}", f"data/{write}"
+        try:
+            latest_changes(changes).select("*", bucket).write.parquet(routed)
+            incoming = self.spark.read.schema(f"{STATE}, bucket int").parquet(routed)
+            touched = {r.bucket for r in incoming.select("bucket").distinct().collect()}
+            if not touched:
+                return []
+            held = {b for b in touched if str(b) in old["files"]}
+            merged = incoming
+            if held:
+                base = self._files(old, held).select("*", bucket)
+                merged = self._merge(base, incoming)
+            (
+                merged.repartition(len(touched), "bucket")
+                .sortWithinPartitions("bucket", "external_id")
+                .write.partitionBy("bucket").parquet(f"{self.path}/{data}")
+            )
+            files = old["files"] | {str(b): f"{data}/bucket={b}" for b in touched}
+            try:
+                self._commit({"number": old["number"] + 1, "buckets": self.buckets, "files": files})
+            except RuntimeError:
+                self._fs.delete(self._hpath(f"{self.path}/{data}"), True)  # this writer's own files, which no manifest names
+                raise
+        finally:
+            self._fs.delete(self._hpath(routed), True)
         return sorted(touched)
 
+    def apply_in_batches(self, changes: DataFrame, batches: int) -> None:
+        """Applies a feed by ranges of change_id, in order of arrival: the first is the base of the others.
+
+        The ranges are of equal width. A range without changes commits nothing;
+        changes without change_id are none.
+        """
+        low, high = changes.agg(F.min("change_id"), F.max("change_id")).first()
+        if low is None:
+            return
+        edges = [low + (high - low + 1) * k // batches for k in range(batches + 1)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                self.apply(changes.where(F.col("change_id").between(a, b - 1)))
+
     @staticmethod
     def _merge(base: DataFrame, incoming: DataFrame) -> DataFrame:
         """Sort-merge of both sides on (bucket, key); either has one row per key."""

@@ -23,10 +23,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items_by_buyer_code(table(spark, sf_dir, "order_lines_holdout"), table(spark, sf_dir, "customer_sku_map"))
 
 
+#: Batches in which the whole feed is applied: the first loads the base, the others are merged into it.
+FEED_BATCHES = 3
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as many buckets as tasks, so that a bucket stays the size of a task's share
     state = BucketedTable(spark, new_path(spark, "state"), max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    state.apply(table(spark, sf_dir, "change_feed"))
+    state.apply_in_batches(table(spark, sf_dir, "change_feed"), FEED_BATCHES)
     return state.read().select("external_id", "version", "change_id")
 
 

@@ -74,3 +74,46 @@ def test_a_second_writer_of_one_manifest_fails(spark):
     a.apply(feed(spark, [(1, "A", "c", "x", 1)]))
     with pytest.raises(RuntimeError):
         a._commit({"number": 1, "buckets": 64, "files": {}})
+
+
+def test_the_loser_of_two_writers_leaves_the_winners_rows(spark):
+    import pytest
+
+    path = new_path(spark, "t")
+    BucketedTable(spark, path, 4).apply(feed(spark, [(1, "A", "c", "base", 1), (2, "B", "c", "base", 1)]))
+    first, second = BucketedTable(spark, path, 4), BucketedTable(spark, path, 4)
+    stale = second._manifest()
+    reader = first.read()  # between the writers
+    first.apply(feed(spark, [(3, "A", "u", "winner", 2), (5, "C", "c", "winner", 1)]))
+    second._manifest = lambda: stale  # reads what the first writer read
+    with pytest.raises(RuntimeError, match="another writer"):
+        second.apply(feed(spark, [(4, "A", "u", "loser", 3), (6, "B", "d", None, 2)]))
+    rows = lambda df: {(r.external_id, r.version, r.payload) for r in df.collect()}
+    assert rows(BucketedTable(spark, path).read()) == {("A", 2, "winner"), ("B", 1, "base"), ("C", 1, "winner")}
+    assert rows(reader) == {("A", 1, "base"), ("B", 1, "base")}
+    # the loser tries again on what holds now
+    BucketedTable(spark, path).apply(feed(spark, [(4, "A", "u", "loser", 3), (6, "B", "d", None, 2)]))
+    assert rows(BucketedTable(spark, path).read()) == {("A", 3, "loser"), ("C", 1, "winner")}
+
+
+def test_a_manifest_that_is_half_written_is_not_read(spark):
+    path = new_path(spark, "t")
+    state = BucketedTable(spark, path)
+    state.apply(feed(spark, [(1, "A", "c", "x", 1)]))
+    state._write(state._hpath(f"{path}/manifests/2.json"), '{"number": 2, "fil')
+    assert BucketedTable(spark, path).read().count() == 1
+
+
+def test_a_feed_in_batches_is_merged_into_its_base(spark, monkeypatch):
+    merged = []
+    inner = BucketedTable._merge
+    monkeypatch.setattr(BucketedTable, "_merge", staticmethod(lambda base, new: merged.append(1) or inner(base, new)))
+    rows = [(i, f"E{i * 7 % 23}", "d" if i % 11 == 0 else "u", str(i), i * 5 % 9) for i in range(200)]
+    for batches in (1, 3, 7):
+        state = BucketedTable(spark, new_path(spark, "t"), buckets=8)
+        state.apply_in_batches(feed(spark, rows), batches)
+        assert {(r.external_id, r.version, r.change_id) for r in state.read().collect()} == by_hand(rows)
+    assert len(merged) == 2 + 6
+    state = BucketedTable(spark, new_path(spark, "t"))
+    state.apply_in_batches(feed(spark, [(None, "A", "c", "x", 1)]), 3)
+    assert state.read().count() == 0

@@ -71,16 +71,18 @@ def identifier_lanes(lines: DataFrame, items: DataFrame) -> DataFrame:
 def alias_lane(lines: DataFrame, aliases: DataFrame, items: DataFrame) -> DataFrame:
     """(line_id, item_code, live, confidence, source) of alias records valid on the line's date.
 
-    live: the target can be matched. Of an item's records the highest
-    (confidence, source) counts. Lines without a real date have no aliases.
+    live: the target can be matched, by the tenant's own entry. Of an item's
+    records the highest (confidence, source) counts. A bound that is written but
+    is no date can't be trusted either way, so its record is never valid. Lines
+    without a real date have no aliases.
     """
     day = lines.select("line_id", "tenant", "customer_id", normalise_identifier(F.col("buyer_sku")).alias("key"), real_date(F.col("order_date")).alias("day")).where("key <> '' AND day IS NOT NULL")
-    text = lambda c: F.when(F.trim(c) != "", F.trim(c)).try_cast("date")
+    written = lambda c: F.when(F.trim(c) != "", F.trim(c))
     records = aliases.distinct().select(
-        "tenant", "customer_id", normalise_identifier(F.col("customer_sku")).alias("key"), F.col("item_code"), text("valid_from").alias("vf"), text("valid_to").alias("vt"), "confidence", "source"
-    )
-    target = items.groupBy("item_code").agg(F.max(F.col("enabled") & ~F.col("misc")).alias("live"))
-    hit = day.join(records, ["tenant", "customer_id", "key"]).where("(vf IS NULL OR vf <= day) AND (vt IS NULL OR day <= vt)").join(target, "item_code")
+        "tenant", "customer_id", normalise_identifier(F.col("customer_sku")).alias("key"), F.col("item_code"), written("valid_from").alias("wf"), written("valid_to").alias("wt"), "confidence", "source"
+    ).select("*", real_date(F.col("wf")).alias("vf"), real_date(F.col("wt")).alias("vt")).where("(wf IS NULL OR vf IS NOT NULL) AND (wt IS NULL OR vt IS NOT NULL)")
+    target = items.groupBy("tenant", "item_code").agg(F.max(F.col("enabled") & ~F.col("misc")).alias("live"))
+    hit = day.join(records, ["tenant", "customer_id", "key"]).where("(vf IS NULL OR vf <= day) AND (vt IS NULL OR day <= vt)").join(target, ["tenant", "item_code"])
     best = F.max(F.struct("confidence", "source")).alias("b")
     return hit.groupBy("line_id", "item_code", "live").agg(best).select("line_id", "item_code", "live", "b.confidence", "b.source")
 

@@ -67,7 +67,7 @@ def unit_checks(items: DataFrame) -> DataFrame:
     broken = once.where((F.trim(F.coalesce("uom_conversions", F.lit(""))) != "") & F.col("parsed").isNull())
     units = unit_rows(items)
     bad = units.where(F.col("factor").isNull() | (F.col("factor") <= 0))
-    stock = units.groupBy("item_code").agg(F.sum(((F.col("unit") == F.col("stock")) & (F.col("factor") == 1)).cast("int")).alias("n")).where("n <> 1")
+    stock = units.groupBy("tenant", "item_code").agg(F.sum(((F.col("unit") == F.col("stock")) & (F.col("factor") == 1)).cast("int")).alias("n")).where("n <> 1")
     return union_all([
         violations("no_conversions", none, code, F.lit("")), violations("unreadable_conversions", broken, code, F.lit("")),
         violations("factor_not_positive", bad, code, F.col("unit")), violations("stock_unit_count", stock, code, F.col("n")),

@@ -73,18 +73,25 @@ def health_report(lines: DataFrame, events: DataFrame, items: DataFrame, first_d
     line = line.where(inside("day"))
     groups = line.groupBy("tenant_id", "channel", "day").agg(F.count_distinct("line_id").alias("lines_total"), F.count_distinct("customer_id").alias("distinct_customers"))
 
-    # written once, narrow: four groupings and a join read it
-    event = cut(event, "events")
-    seen = cut(event.join(line.select("line_id", "channel"), "line_id"), "seen")
-    by_channel = seen.groupBy("tenant_id", "channel", "day").agg(
-        F.count_distinct(F.when(F.col("accepted") == 1, F.col("line_id"))).alias("lines_accepted"), F.count(F.lit(1)).alias("candidates_considered")
-    )
+    # written once, narrow, with the channel of the reported line; all measures read it
+    known = line.select("line_id", "channel", F.lit(True).alias("reported"))
+    event = cut(event.join(known, "line_id", "left"), "events")
+    seen = event.where("reported")
     score = F.when((F.col("accepted") == 1) & F.col("score").between(0, 1) & ~F.isnan("score"), F.round(F.col("score") * 10000).cast("long"))
     latency = F.when(F.col("latency_ms") >= 0, F.col("latency_ms").cast("long"))
     measured = seen.withColumn("latency", latency)
+    # one pass over the events: a row per line and day, from which both grains are summed;
     # whole numbers are summed and divided once, so the mean doesn't depend on the order of rows
-    by_day = measured.groupBy("tenant_id", "day").agg(
-        (F.sum(score) / F.count(score) / 10000).alias("avg_accept_score"), F.max("latency").alias("max_latency_ms"), (F.sum("latency") / F.count("latency")).alias("avg_latency_ms")
+    per_line = measured.groupBy("tenant_id", "channel", "day", "line_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.col("accepted") == 1).cast("int")).alias("accepted"), F.sum(score).alias("score"), F.count(score).alias("scores"),
+        F.max("latency").alias("longest"), F.sum("latency").alias("latency"), F.count("latency").alias("latencies"),
+    )
+    per_channel = cut(per_line.groupBy("tenant_id", "channel", "day").agg(
+        F.sum("accepted").alias("lines_accepted"), F.sum("n").alias("candidates_considered"), *(F.sum(c).alias(c) for c in ("score", "scores", "latency", "latencies")), F.max("longest").alias("longest")
+    ), "channels")
+    by_channel = per_channel.select("tenant_id", "channel", "day", "lines_accepted", "candidates_considered")
+    by_day = per_channel.groupBy("tenant_id", "day").agg(
+        (F.sum("score") / F.sum("scores") / 10000).alias("avg_accept_score"), F.max("longest").alias("max_latency_ms"), (F.sum("latency") / F.sum("latencies")).alias("avg_latency_ms")
     )
     out = (
         groups.join(by_channel, ["tenant_id", "channel", "day"], "left")

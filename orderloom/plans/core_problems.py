@@ -29,7 +29,7 @@ FEED_BATCHES = 3
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # as many buckets as tasks, so that a bucket stays the size of a task's share
-    state = BucketedTable(spark, new_path(spark, "state"), max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    state = BucketedTable(spark, new_path(spark, "state"), max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     state.apply_in_batches(table(spark, sf_dir, "change_feed"), FEED_BATCHES)
     return state.read().select("external_id", "version", "change_id")
 

@@ -9,9 +9,14 @@ from orderloom.operators import evaluate, report
 from orderloom.session import table
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = report.distinct_rows(table(spark, sf_dir, "match_event"), "event_id")
-    return e.withColumn("day", report.day_of("created_at"))
+def _events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each event once, with the columns asked for (``day`` is that of created_at).
+
+    Copies are equal in every column, so the key and the columns that are needed
+    tell rows apart as well as all columns, and only these are shuffled.
+    """
+    e = table(spark, sf_dir, "match_event").withColumn("day", report.day_of("created_at"))
+    return report.distinct_rows(e.select("event_id", *columns), "event_id")
 
 
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,24 +29,27 @@ def prev_day_repeat_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p95_cume_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("latency_ms >= 0")
+    e = _events(spark, sf_dir, "tenant_id", "day", "latency_ms").where("latency_ms >= 0")
     return report.p95(e, ["tenant_id", "day"], "latency_ms", "p95_latency_ms")
 
 
 def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("latency_ms >= 0")
+    e = _events(spark, sf_dir, "tenant_id", "stage", "latency_ms").where("latency_ms >= 0")
     return e.groupBy("tenant_id", "stage").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("int").alias("p95_latency_ms"))
 
 
 def conditional_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
-    return e.groupBy("tenant_id", "day").agg(
-        F.count_distinct(F.when(F.col("accepted") == 1, F.col("line_id"))).alias("lines_accepted"), F.count_distinct("line_id").alias("lines_seen"), F.count(F.lit(1)).alias("events")
+    e = _events(spark, sf_dir, "tenant_id", "day", "line_id", "accepted")
+    # a row per line first: no row is multiplied for a second distinct count
+    per_line = e.groupBy("tenant_id", "day", "line_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("accepted") == 1).cast("int")).alias("hit"))
+    known = F.col("line_id").isNotNull()
+    return per_line.groupBy("tenant_id", "day").agg(
+        F.count(F.when(known & (F.col("hit") == 1), 1)).alias("lines_accepted"), F.count(F.when(known, 1)).alias("lines_seen"), F.sum("n").alias("events")
     )
 
 
 def accepted_disabled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.accepted_disabled(_events(spark, sf_dir), table(spark, sf_dir, "item"))
+    return report.accepted_disabled(_events(spark, sf_dir, "tenant_id", "day", "item_code", "accepted"), table(spark, sf_dir, "item"))
 
 
 def _tops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +79,19 @@ def calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grouping sets: by tenant, by stage, over all."""
-    e = _events(spark, sf_dir)
-    e.createOrReplaceTempView("_orderloom_events")
+    e = _events(spark, sf_dir, "tenant_id", "stage", "accepted")
     n, k = F.col("events"), F.col("accepted")
-    out = spark.sql("""
-        SELECT coalesce(tenant_id, '') AS tenant_id, coalesce(stage, '') AS stage, CAST(grouping_id(tenant_id, stage) AS INT) AS grain,
-            count(*) AS events, sum(CASE WHEN accepted = 1 THEN 1 ELSE 0 END) AS accepted
-        FROM _orderloom_events GROUP BY GROUPING SETS ((tenant_id), (stage), ())""")
+    tenant, stage = F.col("tenant_id"), F.col("stage")
+    sets = e.groupingSets([["tenant_id"], ["stage"], []], "tenant_id", "stage").agg(
+        F.grouping_id().cast("int").alias("grain"), F.count(F.lit(1)).alias("events"), F.sum(F.when(F.col("accepted") == 1, 1).otherwise(0)).alias("accepted")
+    )
+    out = sets.select(F.coalesce(tenant, F.lit("")).alias("tenant_id"), F.coalesce(stage, F.lit("")).alias("stage"), "grain", "events", "accepted")
     return out.withColumn("share", evaluate.safe_divide(k, n)).withColumn("wilson_lower", F.round(evaluate.wilson_lower(k, n), 8))
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the accepted share, tenants drawn as wholes."""
-    per = _events(spark, sf_dir).where("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.sum((F.col("accepted") == 1).cast("long")).alias("hits"), F.count(F.lit(1)).alias("total"))
+    per = _events(spark, sf_dir, "tenant_id", "accepted").where("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.sum((F.col("accepted") == 1).cast("long")).alias("hits"), F.count(F.lit(1)).alias("total"))
     # one row per tenant: the number of groups, not of rows, goes through one task
     from pyspark.sql import Window
 

@@ -149,7 +149,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_of_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = quality.unit_rows(table(spark, sf_dir, "catalogue_item")).groupBy("item_code").agg(F.count(F.lit(1)).alias("units"))
+    per = quality.unit_rows(table(spark, sf_dir, "catalogue_item")).groupBy("tenant", "item_code").agg(F.count(F.lit(1)).alias("units"))
     return per.groupBy("units").agg(F.count(F.lit(1)).alias("items"))
 
 
@@ -224,7 +224,7 @@ def idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utc_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "local_record").where("updated_at_utc RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9:]{8}$'").select("external_id", "updated_at_utc").distinct()
+    d = table(spark, sf_dir, "local_record").select("external_id", "updated_at_utc").distinct()
     return d.select("external_id", feed.local_to_utc("updated_at_utc").alias("utc"), feed.previous_second("updated_at_utc").alias("before")).where("utc IS NOT NULL")
 
 

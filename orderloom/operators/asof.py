@@ -1,18 +1,20 @@
 """Attributes as known at event time, by snapshots and change logs.
 
 Validity rows are cut at the start of each period (a month) into a snapshot of
-what held at that instant, and a log of what began within the period. An event
-reads the snapshot that precedes it and replays only the log of its own period
-up to its day.
+what held at that instant, and a log of what began within the period. Both are
+written, partitioned by period. An event reads the snapshot that precedes it and
+replays only the log of its own period up to its day.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.session import cut
+
 
 def real_date(col: Column) -> Column:
     """A date from the forms order feeds use; null where there is no real date.
@@ -44,6 +46,28 @@ def loose_code(col: Column) -> Column:
     return F.when(code != "", code)
 
 
+def snapshots_and_log(rows: DataFrame, keys: list[str], first: object, last: object) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of the periods from ``first`` to ``last`` (first days of months), and the log of those periods.
+
+    rows: keys, _from, _to, _tie, _value. A snapshot has what held at the start
+    of its period and began before it. Of rows that end on one day only the best
+    can ever be the answer, so they fold into one in a map-side combine; and a
+    row that begins earlier than another and doesn't outlast it is left out.
+    What a key has in one period is therefore bounded by the days rows can end
+    on, however many versions the key has, and a hot key is no hot task.
+    """
+    best = F.max(F.struct("_from", "_tie", "_value")).alias("_best")
+    start = F.greatest(F.add_months(F.trunc("_from", "month"), 1), F.lit(first))
+    end = F.least(F.trunc("_to", "month"), F.lit(last))
+    held = rows.where(start <= end).select(*keys, "_from", "_to", "_tie", "_value", F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))).alias("_period"))
+    folded = held.groupBy(*keys, "_period", "_to").agg(best)
+    longer = Window.partitionBy(*keys, "_period").orderBy(F.desc("_best")).rowsBetween(Window.unboundedPreceding, -1)
+    stairs = folded.withColumn("_outlasts", F.max("_to").over(longer)).where(F.col("_outlasts").isNull() | (F.col("_to") > F.col("_outlasts")))
+    log = rows.withColumn("_period", F.trunc("_from", "month")).where(F.col("_period").between(F.lit(first), F.lit(last)))
+    log = log.groupBy(*keys, "_period", "_from", "_to").agg(best)
+    return stairs.select(*keys, "_period", "_to", "_best"), log.select(*keys, "_period", "_to", "_best")
+
+
 def asof_join(
     events: DataFrame,
     validity: DataFrame,
@@ -63,7 +87,8 @@ def asof_join(
     on which nothing is valid, give no row. Each (key, day) is answered once,
     however many events ask, so a hot key costs no more than its days.
 
-    Snapshots are made only for periods that some event of the key needs.
+    Snapshots and the log are made for the months between the first and the last
+    event, and written to the shared folder.
     """
     tie_cols = [*(tie or []), F.col(value)]
     has = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
@@ -73,18 +98,16 @@ def asof_join(
         validity.where(has & F.col(value).isNotNull())
         .select(*keys, start.alias("_from"), end.alias("_to"), F.struct(*tie_cols).alias("_tie"), F.col(value).alias("_value"))
         .where("_from <= _to")
-        .distinct()
-        .withColumn("_period", F.trunc("_from", "month"))
     )
     asked = events.where(has & F.col(day).isNotNull()).select(*keys, F.col(day).alias("_day")).distinct()
-    asked = asked.withColumn("_period", F.trunc("_day", "month"))
-
-    needed = asked.select(*keys, "_period").distinct()
-    snapshots = needed.join(rows.drop("_period"), keys).where("_from < _period AND _to >= _period")
-    known = snapshots.unionByName(rows)  # a row's own period is where the change log holds it
-    hit = asked.join(known, [*keys, "_period"]).where("_from <= _day AND _to >= _day")
-    best = F.max(F.struct("_from", "_tie", "_value")).alias("_best")
-    return hit.groupBy(*keys, "_day").agg(best).select(*keys, F.col("_day").alias(day), F.col("_best._value").alias(value))
+    asked = cut(asked.withColumn("_period", F.trunc("_day", "month")), "asked")
+    first, last = asked.agg(F.min("_period"), F.max("_period")).first()
+    if first is None:
+        return asked.select(*keys, F.col("_day").alias(day), F.lit(None).cast(validity.schema[value].dataType).alias(value))
+    snapshots, log = (cut(x, name, ["_period"], rebalance=True) for x, name in zip(snapshots_and_log(rows, keys, first, last), ("snapshots", "log"), strict=True))
+    known = snapshots.unionByName(log)
+    hit = asked.join(known, [*keys, "_period"]).where("_best._from <= _day AND _to >= _day")
+    return hit.groupBy(*keys, "_day").agg(F.max("_best").alias("_best")).select(*keys, F.col("_day").alias(day), F.col("_best._value").alias(value))
 
 
 def items_by_buyer_code(lines: DataFrame, sku_map: DataFrame) -> DataFrame:

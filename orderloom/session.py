@@ -63,16 +63,18 @@ def _drop(files, folder) -> None:
         pass
 
 
-def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", partition_by: list[str] | None = None, rebalance: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     It replaces a checkpoint: lineage ends at files every executor can read, so
     a lost executor costs only its running tasks; unlike a checkpoint the files
-    are compressed, columnar and carry sizes the planner can trust.
+    are compressed, columnar and carry sizes the planner can trust. With
+    rebalance, rows are gathered by ``partition_by`` first, so that a partition
+    has few files; one that is large is spread over tasks.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write
+    writer = (df.hint("rebalance", *partition_by) if rebalance and partition_by else df).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

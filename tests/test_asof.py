@@ -1,6 +1,6 @@
 from datetime import date
 
-from orderloom.operators.asof import items_by_buyer_code, loose_code, real_date
+from orderloom.operators.asof import items_by_buyer_code, loose_code, real_date, snapshots_and_log
 from pyspark.sql import functions as F
 
 LINES = "line_id string, tenant string, customer_id string, order_date string, buyer_sku string, code string, _from string"
@@ -58,3 +58,18 @@ def test_dates(spark):
     }
     got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", real_date(F.col("v")).alias("d"), loose_code(F.col("v")).alias("c")).collect()
     assert {r.v: r.d for r in got} == cases
+
+
+def test_snapshots_hold_what_can_still_be_the_answer(spark):
+    rows = [("k", "2026-01-10", "2026-12-31", "long"), ("k", "2026-01-20", "2026-03-15", "short"), ("k", "2026-01-05", "2026-03-10", "beaten"), ("k", "2026-02-03", "9999-12-31", "later"), ("k", "2026-02-03", "9999-12-31", "alike")]
+    df = spark.createDataFrame(rows, "k string, f string, t string, v string").selectExpr("k", "CAST(f AS date) AS _from", "CAST(t AS date) AS _to", "struct(v) AS _tie", "v AS _value")
+    snapshots, log = snapshots_and_log(df, ["k"], date(2026, 2, 1), date(2026, 3, 1))
+    got = {(r._period, r._best._value) for r in snapshots.collect()}
+    assert got == {(date(2026, 2, 1), "short"), (date(2026, 2, 1), "long"), (date(2026, 3, 1), "later")}
+    assert {(r._period, r._best._value) for r in log.collect()} == {(date(2026, 2, 1), "later")}
+
+
+def test_a_snapshot_alone_answers_and_the_log_replays_what_came_after_it(spark):
+    rows = [("t", "c", "X", "before", "2025-05-01", None, "s", 1.0), ("t", "c", "X", "during", "2026-02-10", "2026-02-12", "s", 1.0)]
+    lines = [(str(d), "t", "c", f"2026-02-{d:02d}", "x") for d in (1, 9, 10, 12, 13)]
+    assert run(spark, lines, rows) == {("1", "before"), ("9", "before"), ("10", "during"), ("12", "during"), ("13", "before")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.operators import units
@@ -38,25 +38,47 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 SITE_ZONES = {"SIN": "Asia/Singapore", "OSL": "Europe/Oslo", "CHI": "America/Chicago"}
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stamps already written as yyyy-MM-ddTHH:mm:ssZ have one reading and need none of this."""
+def _clock() -> Column:
     home = F.lit(None).cast("string")
     for site, zone in SITE_ZONES.items():
         home = F.when(F.upper(F.trim("site")) == site, F.lit(zone)).otherwise(home)
+    return home
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps already written as yyyy-MM-ddTHH:mm:ssZ have one reading and need none of this.
+
+    The records of a site are the chain of its clock; local records have no order, so each is by itself.
+    """
     none = F.lit(None).cast("string")
 
-    def part(name: str, key: str, order: str, value: str, zone) -> DataFrame:
+    def part(name: str, key: str, order: str, value: str, zone: Column, chain: Column) -> DataFrame:
         rows = table(spark, sf_dir, name).where(~F.col(value).rlike(CANONICAL) & F.col(key).isNotNull())
         order_key = F.col(order).cast("long") if order == key else F.lit(0).cast("long")
-        return rows.select(F.lit(name).alias("src"), F.col(key).cast("string").alias("row_key"), order_key.alias("ord"), F.col(value).alias("value"), zone.alias("home"))
+        return rows.select(
+            F.lit(name).alias("src"), F.col(key).cast("string").alias("row_key"), order_key.alias("ord"), F.col(value).alias("value"), zone.alias("home"), F.concat_ws("|", F.lit(name), chain).alias("chain")
+        )
 
-    feed = part("change_feed", "change_id", "change_id", "updated_at", home)
-    local = part("local_record", "external_id", "", "updated_at_utc", none)
-    events = part("match_event", "event_id", "event_id", "created_at", none)
+    feed = part("change_feed", "change_id", "change_id", "updated_at", _clock(), F.upper(F.trim("site")))
+    local = part("local_record", "external_id", "", "updated_at_utc", none, F.col("external_id"))
+    events = part("match_event", "event_id", "event_id", "created_at", none, none)
     return normalise_timestamps(feed.unionByName(local).unionByName(events)).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p6_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stamp of change_feed read without the declared conventions (no SQL: a search over the order of records).
+
+    Day or month may come first, a stamp without zone may be the site's clock or
+    UTC, CST American or Chinese; the order of each site's records, with every
+    unambiguous stamp in it, decides.
+    """
+    rows = table(spark, sf_dir, "change_feed").where("change_id IS NOT NULL")
+    site = F.upper(F.trim("site"))
+    every = rows.select(F.lit("change_feed").alias("src"), F.col("change_id").cast("string").alias("row_key"), F.col("change_id").alias("ord"), F.col("updated_at").alias("value"), _clock().alias("home"), site.alias("chain"))
+    return normalise_timestamps(every, declared=False).distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_undeclared": p6_undeclared}
 
 _DAY = """CASE
     WHEN regexp_full_match(trim(order_date), '\\d{4}-\\d{2}-\\d{2}(T.*)?') THEN try_cast(substr(trim(order_date), 1, 10) AS DATE)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -27,9 +28,9 @@ from orderloom.session import cut
 
 #: Latin letters and the Cyrillic and Greek letters drawn alike.
 ALIKE = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ",
-    "T": "ТΤ", "X": "ХΧ", "Y": "Υ", "Z": "Ζ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "o": "оο", "p": "р", "q": "ԛ",
-    "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у", "Æ": "Ӕ", "æ": "ӕ",
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜϺ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ", "S": "Ѕ",
+    "T": "ТΤ", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ΥҮ", "Z": "Ζ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο",
+    "p": "р", "q": "ԛ", "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү", "Æ": "Ӕ", "æ": "ӕ", "Ə": "Ә", "ə": "ә",
 }
 #: Hyphens, and the characters besides format characters that can't be seen.
 HYPHENS = "‐‑﹣－"
@@ -42,6 +43,7 @@ _LATIN_OF = {ord(m): latin for latin, members in ALIKE.items() for m in members}
 _OPTIONS = {latin: latin + members for latin, members in ALIKE.items()}
 _JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{So}\p{Sk}️]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
 
 SWITCH_COST = 6.0
 START = "^"
@@ -78,6 +80,9 @@ _FOLD = _Folding()
 
 def fold(text: str) -> str:
     """Widths, compositions, spaces, hyphens and unseen characters to one form (decomposed)."""
+    if text.isascii():
+        # nothing to fold but characters that can't be seen
+        return _CONTROL.sub("", text)
     if any(j in text for j in _JOINERS):
         # between joining letters or pictures a joiner changes what is seen
         def keep(m: regex.Match) -> str:
@@ -105,13 +110,18 @@ def script_of(ch: str) -> str:
 
 def bigrams(text: str) -> Counter:
     """Letter pairs of the tokens of one script, each with the token's start."""
+    return pairs_of(Counter(_TOKEN.findall(fold(text))))
+
+
+def pairs_of(tokens: Counter) -> Counter:
+    """The same of counted tokens."""
     out: Counter = Counter()
-    for token in _TOKEN.findall(fold(text)):
+    for token, n in tokens.items():
         letters = [c for c in token if c.isalpha()]
         scripts = {script_of(c) for c in letters}
         if len(scripts) == 1 and scripts <= {"LATIN", "CYRILLIC", "GREEK"}:
             for a, b in zip([START, *letters], letters, strict=False):
-                out[a, b] += 1
+                out[a, b] += n
     return out
 
 
@@ -166,9 +176,12 @@ def corpus_bigrams(docs: DataFrame, text: str = "text") -> dict[tuple[str, str],
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
+            # a batch's tokens are counted before they are taken apart, so that each is taken apart once
+            tokens: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
-                    total.update(bigrams(t))
+                    tokens.update(_TOKEN.findall(fold(t)))
+            total.update(pairs_of(tokens))
         if total:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in total]), pa.array([k[1] for k in total]), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"]
@@ -233,3 +246,24 @@ def lookalike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     right = hashed.select("look", F.col("same").alias("other"), F.col(key).alias("y"))
     pairs = left.join(right, ["look", "other"])
     return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
+
+
+def lookalike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, links): each document with its class and how many documents of it have another text.
+
+    class_id is the least key of the documents that look the same. Documents
+    without a visible character have none and give no row. Counts are made per
+    distinct text first, so a text of very many copies is one row of its class.
+    """
+    hashed = cut(unified(docs, key, text, keep_text=False).drop("unified").where(F.col("look").isNotNull() & F.col(key).isNotNull()), "looks")
+    texts = hashed.groupBy("look", "same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = texts.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("texts"))
+    # most looks have one text; only the others need to be joined twice
+    several = texts.join(classes.where("texts > 1"), "look").select("look", "same", "class_id", (F.col("members") - F.col("copies")).alias("links"))
+    alone = texts.join(classes.where("texts = 1").select("look", "class_id"), "look").select("look", "same", "class_id", F.lit(0).cast("long").alias("links"))
+    return hashed.join(several.unionByName(alone), ["look", "same"]).select(key, "class_id", "links").distinct()
+
+
+def one_form(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, form): every text in its one form; null stays null, a text without a visible character is empty."""
+    return unified(docs, key, text).select(key, F.col("unified").alias("form"))

@@ -29,59 +29,64 @@ def weigh(rows: DataFrame, group: str, value: str) -> DataFrame:
     return rows.select(F.col(group).alias("group_id"), v.alias("v")).where((v >= 0) & ~F.isnan(v)).groupBy("group_id", "v").agg(F.count(F.lit(1)).alias("w"))
 
 
-def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 2048, max_rounds: int = 200) -> DataFrame:
+def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 1, max_rounds: int = 200) -> DataFrame:
     """(group_id, q, v): the exact nearest-rank quantiles of each group.
 
     Each round every partition proposes the weighted median of the values that
     are still possible for a (group, quantile); the weighted median of the
     proposals is the pivot; weights below, at and above it are counted; the range
-    that can't hold the wanted rank is discarded. When no more than ``finish``
-    distinct values are left to each, one running sum names the answer. A pivot
-    discards a quarter of the possible weight or more, so rounds grow with the
-    logarithm of the weight alone. Values are rewritten whenever half are ruled
-    out.
+    that can't hold the wanted rank is discarded; and so on until each is found.
+    A pivot discards a quarter of the possible weight or more, so rounds grow
+    with the logarithm of the weight alone. A round is one pass over the values
+    that are left, which are rewritten whenever half are ruled out. With
+    ``finish`` above 1, one running sum ends the search as soon as no (group,
+    quantile) has more distinct values left. Infinity is a value like any other.
     """
     if not quantiles:
         raise ValueError("no quantiles")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     values = cut(weighted.select(F.col("group_id").alias("g"), "v", "w"), "weights")
-    totals = values.groupBy("g").agg(F.sum("w").alias("n"))
+    totals = values.groupBy("g").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("left"))
     q = F.explode(F.array(*(F.lit(float(x)) for x in quantiles))).alias("q")
-    states = totals.select(F.col("g").alias("sg"), "n", q).select(
-        "sg", "q", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long").alias("k"), F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi")
+    none = F.lit(None).cast("double")  # no bound
+    states = totals.select(F.col("g").alias("sg"), "n", "left", q).select(
+        "sg", "q", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long").alias("k"), none.alias("lo"), none.alias("hi"), "left"
     )
     states = cut(states, "states")
+    within = same("g", "sg") & (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
     live, answers = values, []
-    small = states.count() <= BROADCAST_STATES  # rounds only ever settle states
-    held = live.count()
+    count, most, total = states.agg(F.count(F.lit(1)), F.max("left"), F.sum("left")).first()
+    small = count <= BROADCAST_STATES  # rounds only ever settle states
+    held = total
     for _ in range(max_rounds):
-        side = F.broadcast(states) if small else states
-        possible = live.join(side, same("g", "sg") & (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).select("sg", "q", "k", "lo", "hi", "v", "w")
-        left = possible.groupBy("sg", "q").count().agg(F.max("count"), F.sum("count")).first()
-        if left[0] is None:
+        if not count:
             break
-        if left[0] <= finish:
+        side = F.broadcast(states) if small else states
+        possible = live.join(side, within).select("sg", "q", "k", "lo", "hi", "v", "w")
+        if 1 < most <= finish:
             w = Window.partitionBy("sg", "q").orderBy("v")
             run = possible.withColumn("run", F.sum("w").over(w))
             answers.append(run.where((F.col("run") >= F.col("k")) & (F.col("run") - F.col("w") < F.col("k"))).select(F.col("sg").alias("group_id"), "q", "v"))
             break
-        if left[1] <= held // 2 * len(quantiles):
-            kept = live.join(side, same("g", "sg") & (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")), "left_semi")
-            live = cut(kept, "live")
-            held = live.count()
+        if total <= held // 2:
+            live = cut(live.join(side, within, "left_semi"), "live")
+            possible, held = live.join(side, within).select("sg", "q", "k", "lo", "hi", "v", "w"), total
         pivot = _pivots(possible).withColumnsRenamed({"sg": "pg", "q": "pq"})
+        below, at, above = F.col("v") < F.col("p"), F.col("v") == F.col("p"), F.col("v") > F.col("p")
         counted = (
             possible.join(F.broadcast(pivot) if small else pivot, same("sg", "pg") & (F.col("q") == F.col("pq")))
             .groupBy("sg", "q", "k", "lo", "hi", "p")
-            .agg(F.sum(F.when(F.col("v") < F.col("p"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") == F.col("p"), F.col("w")).otherwise(0)).alias("at"))
+            .agg(*(F.sum(F.when(c, F.col("w")).otherwise(0)).alias(n) for c, n in ((below, "below"), (at, "at"))), *(F.count(F.when(c, 1)).alias(n) for c, n in ((below, "lower"), (above, "upper"))))
         )
-        counted = cut(counted, "counted")
-        left_of, found = F.col("k") <= F.col("below"), (F.col("k") > F.col("below")) & (F.col("k") <= F.col("below") + F.col("at"))
-        answers.append(counted.where(found).select(F.col("sg").alias("group_id"), "q", F.col("p").alias("v")))
-        states = counted.where(~found).select(
-            "sg", "q", F.when(left_of, F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
-            F.when(left_of, F.col("lo")).otherwise(F.col("p")).alias("lo"), F.when(left_of, F.col("p")).otherwise(F.col("hi")).alias("hi"),
+        left_of = F.col("k") <= F.col("below")
+        found = ~left_of & (F.col("k") <= F.col("below") + F.col("at"))
+        counted = cut(counted.select("*", found.alias("found"), left_of.alias("left_of"), F.when(left_of, F.col("lower")).otherwise(F.col("upper")).alias("left")), "counted")
+        answers.append(counted.where("found").select(F.col("sg").alias("group_id"), "q", F.col("p").alias("v")))
+        states = counted.where("NOT found").select(
+            "sg", "q", F.when(F.col("left_of"), F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
+            F.when(F.col("left_of"), F.col("lo")).otherwise(F.col("p")).alias("lo"), F.when(F.col("left_of"), F.col("p")).otherwise(F.col("hi")).alias("hi"), "left",
         )
+        count, most, total = states.agg(F.count(F.lit(1)), F.max("left"), F.sum("left")).first()
     else:
         raise RuntimeError(f"multi-select did not end in {max_rounds} rounds")
     if not answers:
@@ -130,9 +135,9 @@ def wide(selected: DataFrame, group: str, quantiles: dict[str, float], kind: str
 
 
 def _bucket(v: Column, error: float) -> Column:
-    """Index of the logarithmic bucket of a value; 0 has a bucket of its own."""
+    """Index of the logarithmic bucket of a value; 0 and infinity have buckets of their own."""
     gamma = (1 + error) / (1 - error)
-    return F.when(v > 0, F.ceil(F.log(v) / math.log(gamma)).cast("int")).otherwise(F.lit(-(2**31)))
+    return F.when(v == math.inf, F.lit(2**31 - 1)).when(v > 0, F.ceil(F.log(v) / math.log(gamma)).cast("int")).otherwise(F.lit(-(2**31)))
 
 
 def part_summary(rows: DataFrame, group: str, part: Column, value: str, error: float = 0.005) -> DataFrame:
@@ -154,7 +159,7 @@ def from_parts(summary: DataFrame, group: str, quantiles: dict[str, float], erro
     joined = summary.groupBy(group, "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(group)
     run = joined.withColumn("run", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
-    middle = F.when(F.col("bucket") == -(2**31), 0.0).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
+    middle = F.when(F.col("bucket") == -(2**31), 0.0).when(F.col("bucket") == 2**31 - 1, math.inf).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
     rank = lambda q: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("all")))
     picks = [F.min(F.when(F.col("run") >= rank(q), F.struct("bucket", middle.alias("m")))).getField("m").alias(name) for name, q in quantiles.items()]
     return run.groupBy(group).agg(F.max("all").alias("n"), *picks)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.byte_bpe import encode_texts
 from orderloom.llm.canonical import items_of_lines
 from orderloom.llm.leakage import find_leaks
-from orderloom.llm.lookalike import _LATIN_OF, lookalike_pairs
+from orderloom.llm.lookalike import _LATIN_OF, lookalike_classes, lookalike_pairs, one_form
 from orderloom.llm.percentiles import from_parts, multi_select, part_summary, weigh, wide
 from orderloom.llm.topn import top_n
 from orderloom.operators.asof import items_by_buyer_code
@@ -69,9 +69,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "documents"))
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the class of texts that look the same, and how many of its documents are of another text."""
+    return lookalike_classes(table(spark, sf_dir, "documents"))
+
+
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its one form, letters in the script that the search chose (no SQL)."""
+    return one_form(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p4_found": p4_found, "p7_percentiles": p7_percentiles, "p7_from_days": p7_from_days, "p7_day_parts": p7_day_parts, "p8_ids": p8_ids,
-    "p9_found": p9_found, "p10_found": p10_found,
+    "p9_found": p9_found, "p10_found": p10_found, "p10_classes": p10_classes, "p10_forms": p10_forms,
 }
 
 
@@ -89,6 +99,10 @@ def _looks_sql(c: str) -> str:
 
 
 SQL = {
+    "p10_classes": f"""
+WITH k AS (SELECT doc_id, text, {_looks_sql("text")} AS look FROM documents WHERE text IS NOT NULL),
+l AS (SELECT * FROM k WHERE trim(look, chr(9) || chr(10) || chr(13) || ' ') <> '')
+SELECT doc_id, min(doc_id) OVER (PARTITION BY look) AS class_id, count(*) OVER (PARTITION BY look) - count(*) OVER (PARTITION BY look, text) AS links FROM l""",
     "p10_found": f"""
 WITH k AS (SELECT doc_id, text, {_looks_sql("text")} AS look FROM documents WHERE text IS NOT NULL),
 l AS (SELECT * FROM k WHERE trim(look, chr(9) || chr(10) || chr(13) || ' ') <> '')

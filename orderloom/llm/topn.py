@@ -1,48 +1,40 @@
 """The N best items of every group, by descending score bands.
 
 Rows are cut into bands of score whose edges come from the score's own
-distribution. Bands are processed from the top: a band's rows of groups that are
-already filled are removed by an anti-join, the rest is combined with what the
-group has so far, and groups that now have N items are finished by an exact
-ranking. Equal scores always lie in one band, so nothing below an edge can come
+distribution, and written once, partitioned by band. Bands are processed from
+the top: a band's rows are combined with what unfilled groups have so far, groups
+that are already filled are removed by an anti-join, and groups that now have N
+items are finished by an exact ranking. Equal scores always lie in one band, so nothing below an edge can come
 before anything above it.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.session import cut
 
-#: Cells of the score histogram from which the edges are read; its size is fixed.
-CELLS = 4096
+#: Bands end at these shares of the rows, from the top: each further one has as many rows as all before it.
+SHARES = [2.0**-k for k in range(20, 0, -1)]
 
 
-def band_edges(scored: DataFrame, n: int, low: float = 0.0, high: float = 1.0) -> list[float]:
+def band_edges(scored: DataFrame, n: int, low: float = 0.0) -> list[float]:
     """Lower edges of the bands, from the top; the last is ``low``.
 
-    The first band holds about twice the rows that N per group need, each
+    The first band holds at least twice the rows that N per group need, each
     further one as many as all before it, so there are only a few bands however
-    large the groups are. One pass; the driver sees at most CELLS counts.
+    large the groups are. One pass, one row of bounded size to the driver.
+    Numbers are approximate, which moves edges and no results.
     """
-    width = (high - low) / CELLS
-    cell = F.least(F.floor((F.col("score") - low) / width), F.lit(CELLS - 1)).cast("int")
-    counts = scored.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    total = sum(r["rows"] for r in counts)
-    if not total:
+    found = scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("group_id", 0.05).alias("groups"), F.percentile_approx("score", [1 - x for x in SHARES], 100_000).alias("at")
+    ).first()
+    if not found["rows"]:
         return [low]
-    groups = scored.agg(F.approx_count_distinct("group_id", 0.05)).first()[0] or 1
-    target = min(1.0, 2.0 * n * groups / total)
-    edges, seen = [], 0
-    for r in sorted(counts, key=lambda r: -r["cell"]):
-        seen += r["rows"]
-        if seen >= target * total and target < 1.0:
-            edges.append(low + r["cell"] * width)
-            target = min(1.0, 2 * target)
-    return [e for e in edges if e > low] + [low]
+    target = 2.0 * n * (found["groups"] or 1) / found["rows"]
+    edges = [e for x, e in zip(SHARES, found["at"], strict=True) if x >= target and e > low]
+    return sorted(set(edges), reverse=True) + [low]
 
 
 def _rank(best: DataFrame, n: int) -> DataFrame:
@@ -68,22 +60,28 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, rank: str, n: int
     scored = rows.select(
         F.col(group).alias("group_id"), F.col(item).alias("item"), F.col(score).cast("double").alias("score"), F.col(rank).cast("int").alias("rank")
     ).where(F.col("score").between(low, high) & ~F.isnan("score") & F.col("group_id").isNotNull() & F.col("item").isNotNull())
-    edges = band_edges(scored, n, low, high)
+    edges = band_edges(scored, n, low)
+    if len(edges) > 1:
+        band_of = F.lit(len(edges) - 1)
+        for k in range(len(edges) - 2, -1, -1):
+            band_of = F.when(F.col("score") >= edges[k], k).otherwise(band_of)
+        scored = cut(scored.withColumn("band", band_of), "bands", ["band"])
 
     finished: list[DataFrame] = []
     filled = carried = None
-    upper = math.inf
-    for k, edge in enumerate(edges):
-        band = scored.where((F.col("score") >= edge) & (F.col("score") < upper)) if upper < math.inf else scored.where(F.col("score") >= edge)
-        upper = edge
-        # the best row of an item first: a map-side combine on (group, item) that splits a huge group
-        if filled is not None:
-            band = band.join(filled, "group_id", "left_anti").unionByName(carried)
+    for k in range(len(edges)):
+        band = scored.where(F.col("band") == k).drop("band") if len(edges) > 1 else scored
+        if carried is not None:
+            band = band.unionByName(carried)
+        # the best row of an item first: a map-side combine on (group, item) that splits a huge group;
+        # then n rows per group and task, so that what meets the filled groups is small however large the group
         key = F.struct("score", F.coalesce(-F.col("rank").cast("long"), F.lit(-(2**40))).alias("low_rank"))
         best = band.groupBy("group_id", "item").agg(F.max(key).alias("b")).select(
             "group_id", "item", "b.score", F.when(F.col("b.low_rank") > -(2**40), -F.col("b.low_rank")).cast("int").alias("rank")
         )
         top = _rank(best, n)
+        if filled is not None:
+            top = top.join(filled, "group_id", "left_anti")
         if k == len(edges) - 1:
             finished.append(top)
             break

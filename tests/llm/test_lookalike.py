@@ -1,4 +1,7 @@
-from orderloom.llm.lookalike import Reader, bigrams, fold, lookalike_pairs, looks, unified
+from collections import Counter
+
+from orderloom.llm import queries
+from orderloom.llm.lookalike import Reader, bigrams, fold, lookalike_classes, lookalike_pairs, looks, unified
 
 SCHEMA = "doc_id long, text string, look string, same string"
 SAME = [
@@ -47,3 +50,31 @@ def test_unified_forms(spark):
 
 def test_fold_keeps_what_is_seen():
     assert fold("a\tb\n²½①") == "a\tb\n²½①"
+    assert fold("a\x00\x1fb\x7f\r") == "ab\r"
+
+
+def test_capitals_and_old_letters():
+    for a, b in (("QUWV", "ԚUԜѴ"), ("Yy", "Үү"), ("Il", "Ӏӏ"), ("Əə", "Әә")):
+        assert looks(a) == looks(b), (a, b)
+
+
+def test_classes_and_links(spark):
+    texts = ["copy", "copy", "cоpy", "cоpy", "сopy", "alone", "alone", None, "", "\u200b", "ｃｏｐｙ"]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.class_id, r.links) for r in lookalike_classes(df).collect()}
+    keys = {i: looks(t).strip() for i, t in enumerate(texts) if t and looks(t).strip()}
+    assert got == {(i, min(j for j in keys if keys[j] == k), sum(keys[j] == k and texts[j] != texts[i] for j in keys)) for i, k in keys.items()}
+    ends = Counter(d for r in lookalike_pairs(df).collect() for d in r)
+    assert {d: n for d, _, n in got if n} == dict(ends)
+    assert lookalike_classes(df.limit(0)).count() == 0
+
+
+def test_the_query_of_forms_writes_each_word_in_the_script_that_the_corpus_has(spark, tmp_path):
+    corpus = ["Torvexa Copper Elbow order path expose case"] * 5 + ["Заказ ещё не проверен оператором сорок сосна роса"] * 5
+    mixed = ["Tоrvехa Соррer", "пpовеpен oпepaтopом", None, "\u200b"]
+    df = spark.createDataFrame(list(enumerate(corpus + mixed)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.form for r in queries.p10_forms(spark, str(tmp_path)).collect()}
+    # folding alone would write the second in Latin letters
+    assert [got[10 + i] for i in range(4)] == ["Torvexa Copper", "проверен оператором", None, ""]
+    assert looks("пpовеpен") != "проверен"

@@ -52,3 +52,22 @@ def test_empty(spark):
     df = frame(spark, [])
     assert wide(multi_select(weigh(df, "tenant", "v"), list(Q.values())), "tenant", Q).count() == 0
     assert from_parts(part_summary(df, "tenant", F.col("day"), "v"), "tenant", Q).count() == 0
+
+
+def test_infinite_values_count(spark):
+    rows = [("t", "d", 1.0), *[("t", "d", math.inf)] * 3, ("u", "d", math.inf), ("v", "d", 2.0)]
+    got = wide(multi_select(weigh(frame(spark, rows), "tenant", "v"), list(Q.values())), "tenant", Q)
+    assert {r.tenant: (r.p50, r.p99) for r in got.collect()} == {"t": (math.inf, math.inf), "u": (math.inf, math.inf), "v": (2.0, 2.0)}
+    parts = from_parts(part_summary(frame(spark, rows), "tenant", F.col("day"), "v"), "tenant", Q).collect()
+    assert {r.tenant: (r.p50 if math.isinf(r.p50) else round(r.p50, 1), r.n) for r in parts} == {"t": (math.inf, 4), "u": (math.inf, 1), "v": (2.0, 1)}
+
+
+def test_every_answer_comes_from_pivots(spark, monkeypatch):
+    from orderloom.llm import percentiles as P
+
+    rounds, inner = [], P._pivots
+    monkeypatch.setattr(P, "_pivots", lambda possible: rounds.append(1) or inner(possible))
+    rows = [("t", "d", float(i)) for i in range(40)] + [("u", "d", 5.0)]
+    got = wide(multi_select(weigh(frame(spark, rows), "tenant", "v"), list(Q.values())), "tenant", Q)
+    assert {r.tenant: (r.p50, r.p95, r.p99) for r in got.collect()} == exact(rows)
+    assert 2 <= len(rounds) <= 12

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from orderloom.session import cut
 
-#: A multi-select state of at most this many rows may be broadcast (some 100 bytes each).
+#: A multi-select state of at most this many rows may be held by the driver and broadcast (some 100 bytes each).
 BROADCAST_STATES = 20_000
+#: Fewer values than these are not rewritten when half are ruled out: a pass over them costs less than the write.
+REWRITE = 500_000
 
 
 def weigh(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -38,7 +40,7 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 1, m
     that can't hold the wanted rank is discarded; and so on until each is found.
     A pivot discards a quarter of the possible weight or more, so rounds grow
     with the logarithm of the weight alone. A round is one pass over the values
-    that are left, which are rewritten whenever half are ruled out. With
+    that are left, which are rewritten whenever half of many are ruled out. With
     ``finish`` above 1, one running sum ends the search as soon as no (group,
     quantile) has more distinct values left. Infinity is a value like any other.
     """
@@ -53,40 +55,56 @@ def multi_select(weighted: DataFrame, quantiles: list[float], finish: int = 1, m
         "sg", "q", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long").alias("k"), none.alias("lo"), none.alias("hi"), "left"
     )
     states = cut(states, "states")
-    within = same("g", "sg") & (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
-    live, answers = values, []
     count, most, total = states.agg(F.count(F.lit(1)), F.max("left"), F.sum("left")).first()
     small = count <= BROADCAST_STATES  # rounds only ever settle states
-    held = total
+    spark = values.sparkSession
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        """A table of one row per state, on the driver where there are few, else in the shared folder."""
+        if not small:
+            return cut(df, label)
+        table = df.toArrow()
+        return F.broadcast(spark.createDataFrame(table, df.schema)) if table.num_rows else df.limit(0)
+
+    if small:
+        states = kept(states, "states")
+    within = same("g", "sg") & (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
+    # the columns of a round are made once: they name columns only
+    below, at, above = F.col("v") < F.col("p"), F.col("v") == F.col("p"), F.col("v") > F.col("p")
+    counts = [F.sum(F.when(c, F.col("w")).otherwise(0)).alias(n) for c, n in ((below, "below"), (at, "at"))] + [F.count(F.when(c, 1)).alias(n) for c, n in ((below, "lower"), (above, "upper"))]
+    left_of = F.col("k") <= F.col("below")
+    found = ~left_of & (F.col("k") <= F.col("below") + F.col("at"))
+    judged = [F.col("*"), found.alias("found"), left_of.alias("left_of"), F.when(left_of, F.col("lower")).otherwise(F.col("upper")).alias("left")]
+    answer = [F.col("sg").alias("group_id"), F.col("q"), F.col("p").alias("v")]
+    narrowed = [
+        F.col("sg"), F.col("q"), F.when(F.col("left_of"), F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
+        F.when(F.col("left_of"), F.col("lo")).otherwise(F.col("p")).alias("lo"), F.when(F.col("left_of"), F.col("p")).otherwise(F.col("hi")).alias("hi"), F.col("left"),
+    ]
+    remaining = [F.count(F.lit(1)), F.max("left"), F.sum("left")]
+    meets = same("sg", "pg") & (F.col("q") == F.col("pq"))
+    columns = ["sg", "q", "k", "lo", "hi", "v", "w"]
+    live, answers, held = values, [], total
     for _ in range(max_rounds):
         if not count:
             break
-        side = F.broadcast(states) if small else states
-        possible = live.join(side, within).select("sg", "q", "k", "lo", "hi", "v", "w")
+        possible = live.join(states, within).select(*columns)
         if 1 < most <= finish:
             w = Window.partitionBy("sg", "q").orderBy("v")
             run = possible.withColumn("run", F.sum("w").over(w))
             answers.append(run.where((F.col("run") >= F.col("k")) & (F.col("run") - F.col("w") < F.col("k"))).select(F.col("sg").alias("group_id"), "q", "v"))
             break
-        if total <= held // 2:
-            live = cut(live.join(side, within, "left_semi"), "live")
-            possible, held = live.join(side, within).select("sg", "q", "k", "lo", "hi", "v", "w"), total
-        pivot = _pivots(possible).withColumnsRenamed({"sg": "pg", "q": "pq"})
-        below, at, above = F.col("v") < F.col("p"), F.col("v") == F.col("p"), F.col("v") > F.col("p")
-        counted = (
-            possible.join(F.broadcast(pivot) if small else pivot, same("sg", "pg") & (F.col("q") == F.col("pq")))
-            .groupBy("sg", "q", "k", "lo", "hi", "p")
-            .agg(*(F.sum(F.when(c, F.col("w")).otherwise(0)).alias(n) for c, n in ((below, "below"), (at, "at"))), *(F.count(F.when(c, 1)).alias(n) for c, n in ((below, "lower"), (above, "upper"))))
-        )
-        left_of = F.col("k") <= F.col("below")
-        found = ~left_of & (F.col("k") <= F.col("below") + F.col("at"))
-        counted = cut(counted.select("*", found.alias("found"), left_of.alias("left_of"), F.when(left_of, F.col("lower")).otherwise(F.col("upper")).alias("left")), "counted")
-        answers.append(counted.where("found").select(F.col("sg").alias("group_id"), "q", F.col("p").alias("v")))
-        states = counted.where("NOT found").select(
-            "sg", "q", F.when(F.col("left_of"), F.col("k")).otherwise(F.col("k") - F.col("below") - F.col("at")).alias("k"),
-            F.when(F.col("left_of"), F.col("lo")).otherwise(F.col("p")).alias("lo"), F.when(F.col("left_of"), F.col("p")).otherwise(F.col("hi")).alias("hi"), "left",
-        )
-        count, most, total = states.agg(F.count(F.lit(1)), F.max("left"), F.sum("left")).first()
+        if total <= held // 2 and held >= REWRITE:
+            live, held = cut(live.join(states, within, "left_semi"), "live"), total
+            possible = live.join(states, within).select(*columns)
+        pivot = _pivots(possible)
+        if small:
+            pivot = kept(pivot, "pivots")
+        counted = kept(possible.join(pivot, meets).groupBy("sg", "q", "k", "lo", "hi", "p").agg(*counts).select(*judged), "counted")
+        answers.append(counted.where("found").select(*answer))
+        states = counted.where("NOT found").select(*narrowed)
+        count, most, total = states.agg(*remaining).first()
+        if small:
+            states = F.broadcast(states)
     else:
         raise RuntimeError(f"multi-select did not end in {max_rounds} rounds")
     if not answers:
@@ -116,7 +134,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pivots(possible: DataFrame) -> DataFrame:
-    """(sg, q, p): the weighted median of the medians that partitions propose.
+    """(pg, pq, p): the weighted median of the medians that partitions propose.
 
     Proposals are made where the values lie, so only they are shuffled: one per
     (group, quantile) and batch.
@@ -125,7 +143,7 @@ def _pivots(possible: DataFrame) -> DataFrame:
     proposed = rows.mapInArrow(_propose, rows.schema)
     w = Window.partitionBy("sg", "q").orderBy("v", "w").rowsBetween(Window.unboundedPreceding, 0)
     ranked = proposed.withColumn("run", F.sum("w").over(w)).withColumn("all", F.sum("w").over(Window.partitionBy("sg", "q")))
-    return ranked.where(F.col("run") * 2 >= F.col("all")).groupBy("sg", "q").agg(F.min("v").alias("p"))
+    return ranked.where(F.col("run") * 2 >= F.col("all")).groupBy(F.col("sg").alias("pg"), F.col("q").alias("pq")).agg(F.min("v").alias("p"))
 
 
 def wide(selected: DataFrame, group: str, quantiles: dict[str, float], kind: str = "double") -> DataFrame:

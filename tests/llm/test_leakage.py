@@ -1,5 +1,6 @@
 import random
 
+from orderloom.llm import leakage
 from orderloom.llm.leakage import LeakIndex, find_leaks, kept_in_order, nearest, words_of
 
 RNG = random.Random(4)
@@ -83,3 +84,67 @@ def test_frame(spark):
     items = spark.createDataFrame([*[(i, t, "s") for i, t in ITEMS], (0, ITEMS[0][1], "t"), (98, None, "s"), (99, "...", "s")], "item_id long, text string, doc_id string")
     assert {tuple(r) for r in find_leaks(docs, items).collect()} == {(1, 0), (4, 0)}
     assert find_leaks(docs, items.limit(0)).count() == 0 and find_leaks(docs.limit(0), items).count() == 0
+
+
+def slow_copy(item, doc):
+    """Two thirds of the item's words in order in some window in which they can stand with as many edits as are allowed."""
+    n = len(item)
+    need = -(-n * 2 // 3)
+    errors = 2 * (n - need)
+    return any(
+        slow_distance(item, doc[:end]) <= errors and slow_common(item, doc[max(0, end - n - errors) : end]) >= need and min_end(item, doc, end) <= errors for end in range(1, len(doc) + 1)
+    )
+
+
+def min_end(item, doc, end):
+    """Least distance of the item to a part that ends at ``end``."""
+    return min(levenshtein(item, doc[start:end]) for start in range(max(0, end - 2 * len(item)), end + 1))
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(row[j] + 1, now[j - 1] + 1, row[j - 1] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_copies_at_the_limit_against_brute_force():
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(VOCAB) for _ in range(21 + 3 * i))) for i in range(4)]
+    ix = LeakIndex(items)
+    hits = 0
+    for trial in range(40):
+        i = trial % 4
+        w = items[i][1].split()
+        lost = set(rng.sample(range(len(w)), len(w) - -(-len(w) * 2 // 3) + trial % 2))
+        doc = []
+        for j, x in enumerate(w):
+            if j not in lost:
+                doc.append(x)
+            elif rng.random() < 0.5:
+                doc.append("changed")
+            if rng.random() < 0.15:
+                doc.append("added")
+        doc = ["before"] * 3 + doc + ["after"] * 2
+        want = {k for k, t in items if slow_copy(t.split(), doc)} | {k for k, t in items if any(" ".join(t.split()[a : a + 12]) in " ".join(doc) for a in range(len(t.split()) - 11))}
+        assert ix.leaks(" ".join(doc)) == want
+        hits += i in want
+    assert 15 <= hits < 40
+
+
+def test_a_word_added_before_the_last_kept_word():
+    w = ITEMS[2][1].split()  # 25 words, 17 to keep
+    lost = [1, 4, 7, 10, 13, 16, 19, 22]
+    copy = [x for i, x in enumerate(w) if i not in lost]
+    assert 2 in LeakIndex(ITEMS).leaks(" ".join(copy[:-1] + ["added"] + copy[-1:]))
+
+
+def test_blocks_give_what_one_gives(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "so " + t + " end") for i, t in ITEMS] + [(9, None), (10, "")], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    one = sorted(map(tuple, find_leaks(docs, items).collect()))
+    monkeypatch.setattr(leakage, "BLOCK", 2)
+    assert sorted(map(tuple, find_leaks(docs, items).collect())) == one and len(one) == len(ITEMS)

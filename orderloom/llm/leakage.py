@@ -139,7 +139,7 @@ class LeakIndex:
 
     def leaks_of(self, w: list[int]) -> set[int]:
         found: set[int] = set()
-        for i, head in enumerate(zip(w, [*w[1:], -1], strict=True)):
+        for i, head in enumerate(zip(w, [*w[1:], -1], strict=False)):
             for key in (head, head[:1]):
                 for size in self.heads.get(key, ()):
                     found |= self.runs.get(tuple(w[i : i + size]), set())

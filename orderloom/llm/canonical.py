@@ -4,10 +4,12 @@ Values are deduplicated and normalised (case, accents, digits typed for letters,
 measures in one unit). Each word of a value retrieves reference words by an
 inverted index of character n-grams and is scored by weighted cosine, by slips
 of typing and as an abbreviation; words learned from confirmed values (other
-languages, trade names) score by their share. An entry's score is the weighted
-cosine of the value's words with its own; the best is accepted above a threshold
-if no other comes within a margin. What is written and fits no entry, or two
-alike, is reported as unmatched.
+languages, trade names) score by their share. An entry is accepted if its
+weighted cosine with the value and the share of the value's weight that it
+explains are above their thresholds, and if no other comes within a margin of
+that share: what is not written must not tell entries apart, and it would by
+their norms. What is written and fits no entry, or two alike, is reported as
+unmatched.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ NOTHING = ""
 #: Fixed value: confirmed values of a tenant in which a word must be left over to be learned from, whatever their number.
 LEAST_SEEN = 3
 
-#: Most entries of one block of the reference list; more are taken in blocks of whole tenants.
+#: Most entries of one block of the reference list that is sent to the workers; more are taken in further blocks.
 BLOCK_ENTRIES = 200_000
 
 _SPECIAL = str.maketrans({"æ": "ae", "ø": "o", "ß": "ss", "ð": "d", "þ": "th", "œ": "oe", "ł": "l", "đ": "d", "×": "x", "”": '"', "“": '"', "″": '"', "’": "'", "‘": "'", "′": "'"})
@@ -178,7 +180,7 @@ class WordIndex:
             s = 1.0 if w == word else c * 0.9
             if s < 1 and len(word) >= 3:
                 most = 1 if len(w) <= 4 else 2 if len(w) <= 8 else 3
-                if (d := edits(word, w, most)) <= most:
+                if abs(len(word) - len(w)) <= most and (d := edits(word, w, most)) <= most:
                     s = max(s, 1 - 0.12 * d - 0.4 * d / len(w))
                 if word[0] == w[0] and len(word) < len(w):
                     if w.startswith(word):
@@ -210,35 +212,55 @@ class Entry:
         self.slots = {w: "brand" if w in brand_words else "kind" if w in kind_words else "finish" for w in words}
 
 
+class Vocabulary:
+    """Words of a tenant's whole list: their weights, the index of their n-grams, and pairs that may be run together."""
+
+    def __init__(self, size: int, df: dict[str, int], joined: dict[str, tuple[str, str]]):
+        self.weight = {w: math.log(1 + size / n) for w, n in df.items()}
+        self.joined = joined
+        self.index = WordIndex(set(df) | set(joined))
+
+    @staticmethod
+    def parts(entries: list[Entry]) -> tuple[Counter, dict[str, tuple[str, str]]]:
+        """How many entries have each word, and the pairs of words in a row by their letters (the last of several)."""
+        df: Counter = Counter()
+        joined: dict[str, tuple[str, str]] = {}
+        for e in entries:
+            df.update(set(e.words))
+            for a, b in zip(e.words, e.words[1:], strict=False):
+                joined[a + b] = max(joined.get(a + b, (a, b)), (a, b))
+        return df, joined
+
+
 class Matcher:
-    """Maps values to the entries of one tenant's list."""
+    """Maps values to the entries of one tenant's list, or of a part of it.
+
+    vocabulary: that of the whole list; unset, the entries are the whole list.
+    """
 
     #: Accept at this share of the value's weight explained; every word that is no filler must be explained by LEAST.
     THRESHOLD, MARGIN, LEAST, NEARLY = 0.62, 0.035, 0.5, 0.2
+    #: Least weighted cosine of an entry that is accepted.
+    COSINE = 0.5
 
-    def __init__(self, entries: list[tuple[str, str, str, str]], aliases: dict[str, dict[str, float]] | None = None, fillers: frozenset[str] = frozenset()):
+    def __init__(
+        self, entries: list[tuple[str, str, str, str]], aliases: dict[str, dict[str, float]] | None = None, fillers: frozenset[str] = frozenset(), vocabulary: Vocabulary | None = None
+    ):
         self.entries = [Entry(*e) for e in sorted(set(entries))]
         self.aliases, self.fillers = aliases or {}, fillers
-        df: Counter = Counter()
-        joined: dict[str, tuple[str, str]] = {}
-        for e in self.entries:
-            df.update(set(e.words))
-            for a, b in zip(e.words, e.words[1:], strict=False):
-                joined[a + b] = (a, b)
-        self.weight = {w: math.log(1 + len(self.entries) / n) for w, n in df.items()}
-        self.joined = joined
-        self.index = WordIndex(set(df) | set(joined))
+        vocabulary = vocabulary or Vocabulary(len(self.entries), *Vocabulary.parts(self.entries))
+        self.weight, self.joined, self.index = vocabulary.weight, vocabulary.joined, vocabulary.index
         self.by_word: dict[str, set[int]] = defaultdict(set)
-        self.all_measures: set[str] = set()
+        self.norms = [math.sqrt(sum(self.weight.get(w, 0.0) ** 2 for w in e.words)) for e in self.entries]
         for k, e in enumerate(self.entries):
-            self.all_measures |= e.measures
             for w in e.words:
                 self.by_word[w].add(k)
 
     def near(self, word: str) -> dict[str, float]:
         """Reference words by similarity: as typed, as learned, and two that are run together."""
         out: dict[str, float] = {}
-        for w, s in self.index.near(word).items():
+        # a word of the list stands for itself; what is only like it would be dropped below
+        for w, s in {word: 1.0}.items() if word in self.weight else self.index.near(word).items():
             if w in self.weight:
                 out[w] = max(out.get(w, 0), s)
             if w in self.joined and s >= 0.7 and edits(word, w, 2) <= 2:
@@ -270,65 +292,90 @@ class Matcher:
 
     def match(self, value: str | None) -> str:
         """A code, UNMATCHED, or NOTHING if the value names nothing of the list."""
+        return self.decide(*self.candidates(value))
+
+    def candidates(self, value: str | None) -> tuple[bool, bool, list[tuple[float, str, bool, bool]]]:
+        """Whether the value names anything; whether a size may stand in its quantity; and the best entries.
+
+        An entry is (share, code, sized, accepted): the share of the value's
+        weight it explains, whether it has the size that may stand in the
+        quantity, and whether its cosine and all words of the value allow it. Of
+        sized ones and of others the two best are given, which is what a decision
+        over several parts of a list can need.
+        """
         if not value or not value.strip():
-            return NOTHING
+            return False, False, []
         words, measures, spare, bulk = self.read(value)
         told = [(w, near) for w, near in self.explain(words) if not (w in self.fillers and max(near.values(), default=0) < 1)]
         # words typed in two parts, or fillers that are not learned yet, explain nothing
         strong = [(w, n) for w, n in told if max(n.values(), default=0) >= self.LEAST]
         odd = [w for w, n in told if max(n.values(), default=0) < self.LEAST and len(w) > 2]
         if not self._names(strong):
-            return NOTHING
-        scores: dict[int, float] = defaultdict(float)
-        total = 0.0
+            return False, False, []
+        weights = []
         for _, near in strong:
             best = max(near.values())
-            # of a word's readings each entry counts its best
-            own: dict[int, float] = {}
-            for w, s in near.items():
+            weights.append(max(self.weight[w] for w, s in near.items() if s >= best - 0.1))
+        total = sum(weights)
+        # an entry near enough to be accepted, or to stand beside one, has one of the weightiest words
+        # that make up more than the rest of the value's weight
+        found: set[int] = set()
+        seen = 0.0
+        for i in sorted(range(len(strong)), key=lambda i: -weights[i]):
+            if seen > (1 - self.THRESHOLD + self.MARGIN) * total:
+                break
+            seen += weights[i]
+            for w, s in strong[i][1].items():
                 if s >= self.LEAST:
-                    for k in self.by_word[w]:
-                        if s > own.get(k, 0):
-                            own[k] = s
-            weight = max(self.weight[w] for w, s in near.items() if s >= best - 0.1)
-            total += weight
-            for k, s in own.items():
-                scores[k] += weight * s
-        wanted = set(measures)
+                    found |= self.by_word[w]
+        wanted, sizes = set(measures), set(spare)
+        length = math.sqrt(sum(w * w for w in weights))
         fits = []
-        for k, s in scores.items():
+        for k in found:
             e = self.entries[k]
-            if e.bulk != bulk:
+            if e.bulk != bulk or not wanted <= e.measures:
                 continue
-            if not wanted <= e.measures:
-                continue
-            fits.append((s / total, k))
-        if not fits:
-            return UNMATCHED
+            share = dot = 0.0
+            for weight, (_, near) in zip(weights, strong, strict=True):
+                # of a word's readings each entry counts its best
+                s, w = max((near.get(x, 0.0), x) for x in e.words)
+                if s >= self.LEAST:
+                    share += weight * s
+                    dot += weight * s * self.weight[w]
+            fits.append((share / total, k, bool(sizes) and sizes <= e.measures, dot / (length * self.norms[k])))
         fits.sort(key=lambda x: (-x[0], self.entries[x[1]].code))
-        top = fits[0][0]
-        close = [k for s, k in fits if s >= top - self.MARGIN]
+        kept = []
+        for sized in (True, False):
+            kept += [(s, self.entries[k].code, z, c >= self.COSINE and self._explained(self.entries[k], strong, odd)) for s, k, z, c in [f for f in fits if f[2] == sized][:2]]
+        return True, bool(spare), kept
+
+    @classmethod
+    def decide(cls, named: bool, spare: bool, kept: list[tuple[float, str, bool, bool]]) -> str:
+        """Accepts the best entry above the threshold if no other comes within the margin."""
+        if not named:
+            return NOTHING
+        top = max((s for s, *_ in kept), default=0.0)
+        close = [c for c in kept if c[0] >= top - cls.MARGIN]
         if len(close) > 1 and spare:
             # a number with a unit that may be the size, where no other size is written
-            sized = [k for k in close if set(spare) <= self.entries[k].measures]
-            close = sized or close
-        if top < self.THRESHOLD or len(close) != 1:
-            return UNMATCHED
-        e = self.entries[close[0]]
-        # every strong word must be explained by the entry itself, every other be a bad slip of one that is still open
+            close = [c for c in close if c[2]] or close
+        return close[0][1] if top >= cls.THRESHOLD and len(close) == 1 and close[0][3] else UNMATCHED
+
+    def _explained(self, e: Entry, strong: list[tuple[str, dict[str, float]]], odd: list[str]) -> bool:
+        """Every strong word is explained by the entry itself, every other is a bad slip of one that is still open."""
         open_ = list(e.words)
         for _, near in strong:
             mine = max(e.words, key=lambda w: near.get(w, 0))
             if near.get(mine, 0) < self.LEAST:
-                return UNMATCHED
+                return False
             if mine in open_:
                 open_.remove(mine)
         for word in odd:
             slip = min(open_, key=lambda w: edits(word, w, 4), default=None)
             if slip is None or edits(word, slip, 4) * 2 > len(word):
-                return UNMATCHED
+                return False
             open_.remove(slip)
-        return e.code
+        return True
 
     @staticmethod
     def _names(strong: list[tuple[str, dict[str, float]]]) -> bool:
@@ -394,70 +441,117 @@ def _decided(counts: DataFrame, single: bool) -> DataFrame:
 _MATCHERS: dict[str, dict[str, Matcher]] = {}
 
 
-def _matchers(key: str, model: dict) -> dict[str, Matcher]:
-    """Matchers of a worker process, made once per model."""
+def _matchers(key: str, model: dict[str, tuple], lists: dict[str, list[tuple]]) -> dict[str, Matcher]:
+    """Matchers of a worker process, made once per model. model: tenant to (vocabulary parts, aliases, fillers)."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = {t: Matcher(*parts) for t, parts in model.items()}
+        _MATCHERS[key] = {t: Matcher(lists.get(t, []), aliases, fillers, Vocabulary(*parts)) for t, (parts, aliases, fillers) in model.items()}
     return _MATCHERS[key]
 
 
-def _blocks(entries: DataFrame, most: int) -> list[dict[str, list[tuple]]]:
-    """The list in blocks of whole tenants of at most ``most`` entries (a larger tenant is a block of its own)."""
-    sizes = sorted((r["tenant"], r["count"]) for r in entries.groupBy("tenant").count().collect())
-    groups: list[list[str]] = []
-    room = 0
-    for tenant, n in sizes:
-        if not groups or n > room:
-            groups.append([])
-            room = most
-        groups[-1].append(tenant)
-        room -= n
-    out = []
-    for tenants in groups:
-        block: dict[str, list[tuple]] = {t: [] for t in tenants}
-        for r in entries.where(F.col("tenant").isin(tenants)).collect():
-            block[r["tenant"]].append((r["code"], r["name"] or "", r["brand"] or "", r["kind"] or ""))
-        out.append(block)
-    return out
+def _vocabularies(entries: DataFrame) -> dict[str, tuple[int, dict[str, int], dict[str, tuple[str, str]]]]:
+    """tenant: number of entries, entries per word, joined pairs. Only words come to the driver, not the list."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for tenant, *fields in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                df, joined = Vocabulary.parts([Entry(*(f or "" for f in fields))])
+                total.update({(tenant, w, None, None): 1 for w in df} | {(tenant, w, *pair): 1 for w, pair in joined.items()} | {(tenant, None, None, None): 1})
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.string()) for i in range(4)] + [pa.array(list(total.values()), pa.int64())], names=["tenant", "word", "a", "b", "n"])
+
+    counts = entries.select("tenant", "code", "name", "brand", "kind").mapInArrow(count, "tenant string, word string, a string, b string, n long").groupBy("tenant", "word", "a", "b").agg(F.sum("n").alias("n"))
+    sizes: dict[str, int] = {}
+    df: dict[str, dict[str, int]] = defaultdict(dict)
+    joined: dict[str, dict[str, tuple[str, str]]] = defaultdict(dict)
+    for r in counts.collect():
+        if r["word"] is None:
+            sizes[r["tenant"]] = r["n"]
+        elif r["a"] is None:
+            df[r["tenant"]][r["word"]] = r["n"]
+        else:
+            pair = (r["a"], r["b"])
+            joined[r["tenant"]][r["word"]] = max(joined[r["tenant"]].get(r["word"], pair), pair)
+    return {t: (n, df[t], joined[t]) for t, n in sizes.items()}
 
 
-def _learn(confirmed: DataFrame, block: dict[str, list[tuple]]) -> dict[str, tuple]:
-    """Entries, aliases and fillers of each tenant, learned from all confirmed values in two rounds."""
+def _learn(confirmed: DataFrame, entries: DataFrame, vocabularies: dict[str, tuple]) -> dict[str, tuple]:
+    """tenant: (vocabulary parts, aliases, fillers), learned from all confirmed values in two rounds.
+
+    Each confirmed value is joined to its entry's name, so no list is needed.
+    """
     spark = confirmed.sparkSession
-    model = {t: (e, {}, frozenset()) for t, e in block.items()}
-    rows = confirmed.where(F.col("tenant").isin(list(block)))
+    model = {t: (parts, {}, frozenset()) for t, parts in vocabularies.items()}
+    named = entries.groupBy("tenant", "code").agg(F.max(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "brand", "kind")))).alias("e"))
+    rows = cut(confirmed.join(named, ["tenant", "code"]).select("tenant", "value", "code", "e.name", "e.brand", "e.kind"), "confirmed")
     for single in (True, False):
-        shared = spark.sparkContext.broadcast(model)
-        key = uuid.uuid4().hex
+        shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
         def residues(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matchers = _matchers(key, shared.value)
-            words = {t: {e.code: e.words for e in m.entries} for t, m in matchers.items()}
+            matchers = _matchers(key, shared.value, {})
+            words: dict[tuple, tuple] = {}
             total: Counter = Counter()
             for batch in batches:
-                for tenant, value, code in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    own = words.get(tenant, {}).get(code)
-                    if not own or not value:
+                for tenant, value, *fields in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                    name = tuple(fields)
+                    if name not in words:
+                        words[name] = Entry(*name).words
+                    if not words[name]:
                         continue
-                    left, open_, named = matchers[tenant].residue(value, own)
+                    left, open_, is_named = matchers[tenant].residue(value, words[name])
                     for w in set(left):
                         total[tenant, w, None] += 1
-                        for o in set(open_) if named and open_ else {""}:
+                        for o in set(open_) if is_named and open_ else {""}:
                             total[tenant, w, o] += 1
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in total], pa.string()) for i in range(3)] + [pa.array(list(total.values()), pa.int64())], names=["tenant", "word", "target", "n"])
 
-        counts = rows.select("tenant", "value", "code").mapInArrow(residues, "tenant string, word string, target string, n long").groupBy("tenant", "word", "target").agg(F.sum("n").alias("n"))
+        counts = _spread(rows).mapInArrow(residues, "tenant string, word string, target string, n long").groupBy("tenant", "word", "target").agg(F.sum("n").alias("n"))
         per: dict[str, list] = defaultdict(list)
         for r in _decided(counts, single).collect():
             per[r["tenant"]] += [(r["word"], None, r["all"]), (r["word"], r["target"], r["n"])]
-        for t, (e, aliases, _) in model.copy().items():
+        for t, (parts, aliases, _) in model.copy().items():
             more, fillers = learned(per.get(t, []), len(per.get(t, [])), single)
-            model[t] = (e, aliases | more, fillers)
+            model[t] = (parts, aliases | more, fillers)
+        shared.destroy()
     return model
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows over as many tasks as the session shuffles into: a value costs time, not bytes, so tasks go by rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "tenant", "value")
+
+
+def _blocks(entries: DataFrame, sizes: dict[str, int], most: int) -> Iterator[tuple[bool, dict[str, list[tuple]]]]:
+    """The list in blocks of about ``most`` entries, one at a time, and whether the block is a part of one tenant's list."""
+    fetched = lambda df: [(r["tenant"], (r["code"], r["name"] or "", r["brand"] or "", r["kind"] or "")) for r in df.collect()]
+
+    def block(df: DataFrame) -> dict[str, list[tuple]]:
+        out: dict[str, list[tuple]] = defaultdict(list)
+        for tenant, entry in fetched(df):
+            out[tenant].append(entry)
+        return dict(out)
+
+    group: list[str] = []
+    for tenant, n in sorted(sizes.items()):
+        if n > most:
+            parts = -(-n // most)
+            for p in range(parts):
+                yield True, block(entries.where((F.col("tenant") == tenant) & (F.pmod(F.xxhash64("code", "name"), F.lit(parts)) == p)))
+            continue
+        if group and sum(sizes[t] for t in group) + n > most:
+            yield False, block(entries.where(F.col("tenant").isin(group)))
+            group = []
+        group.append(tenant)
+    if group:
+        yield False, block(entries.where(F.col("tenant").isin(group)))
+
+
+_CANDIDATES = "tenant string, value string, named boolean, spare boolean, kept array<struct<share: double, code: string, sized: boolean, accepted: boolean>>"
+
+
 def map_to_list(values: DataFrame, entries: DataFrame, confirmed: DataFrame, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(tenant, value, code): the entry that each distinct value names.
 
@@ -467,33 +561,70 @@ def map_to_list(values: DataFrame, entries: DataFrame, confirmed: DataFrame, blo
     code is UNMATCHED where what is written fits no entry or several, and ''
     where the value (also a null or blank one) names nothing of the list.
     Values of a tenant without entries name nothing. Repeated values are mapped
-    once; values longer than the names are read whole.
+    once; values longer than the names are read whole. The list is taken in
+    blocks of ``block_entries``, one after the other; of a tenant whose list is
+    in several blocks each value keeps the best entries of each, from which the
+    decision is made as from one list.
     """
     spark = values.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = values.select("tenant", "value").where("tenant IS NOT NULL AND trim(value) <> ''").distinct().repartition(n, "tenant", "value")
-    entries = entries.select("tenant", "code", "name", "brand", "kind").where("tenant IS NOT NULL AND code IS NOT NULL AND name IS NOT NULL").distinct()
+    distinct = _spread(values.select("tenant", "value").where("tenant IS NOT NULL AND trim(value) <> ''").distinct())
+    entries = cut(entries.select("tenant", "code", "name", "brand", "kind").where("tenant IS NOT NULL AND code IS NOT NULL AND name IS NOT NULL").distinct(), "entries")
     taught = confirmed.select("tenant", "value", "code").where("value IS NOT NULL AND code IS NOT NULL").distinct()
-    out = None
-    for block in _blocks(entries, block_entries):
-        model = _learn(taught, block)
-        shared = spark.sparkContext.broadcast(model)
-        key = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            matchers = _matchers(key, shared.value)
-            for batch in batches:
-                pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                codes = [matchers[t].match(v) for t, v in pairs]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string())], names=["tenant", "value", "code"])
-
-        part = distinct.where(F.col("tenant").isin(list(block))).mapInArrow(run, "tenant string, value string, code string")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    vocabularies = _vocabularies(entries)
+    sizes = {t: parts[0] for t, parts in vocabularies.items()}
+    if not sizes:
         return distinct.select("tenant", "value", F.lit(NOTHING).alias("code"))
+    model = _learn(taught, entries, vocabularies)
+    whole, several = [], []
+    single = sum(sizes.values()) <= block_entries
+    for is_part, lists in _blocks(entries, sizes, block_entries):
+        shared, key = spark.sparkContext.broadcast(({t: model[t] for t in lists}, lists)), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key, is_part=is_part) -> Iterator[pa.RecordBatch]:
+            matchers = _matchers(key, *shared.value)
+            for batch in batches:
+                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                if is_part:
+                    found = [matchers[t].candidates(v) for t, v in pairs]
+                    rows = [{"tenant": t, "value": v, "named": n, "spare": s, "kept": [dict(zip(("share", "code", "sized", "accepted"), c, strict=True)) for c in k]} for (t, v), (n, s, k) in zip(pairs, found, strict=True)]
+                    yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES_ARROW)
+                else:
+                    codes = [matchers[t].match(v) for t, v in pairs]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string())], names=["tenant", "value", "code"])
+
+        part = distinct.where(F.col("tenant").isin(list(lists))).mapInArrow(run, _CANDIDATES if is_part else "tenant string, value string, code string")
+        if not single:
+            # one block after the other, so that only one is in memory
+            part = cut(part, "block")
+            shared.destroy()
+        (several if is_part else whole).append(part)
+    if several:
+        both = several[0]
+        for part in several[1:]:
+            both = both.unionByName(part)
+        merged = both.groupBy("tenant", "value").agg(F.bool_or("named").alias("named"), F.bool_or("spare").alias("spare"), F.flatten(F.collect_list("kept")).alias("kept"))
+        whole.append(merged.mapInArrow(_decide_merged, "tenant string, value string, code string"))
+    out = whole[0]
+    for part in whole[1:]:
+        out = out.unionByName(part)
     return out
 
 
+_CANDIDATES_ARROW = pa.schema([
+    ("tenant", pa.string()), ("value", pa.string()), ("named", pa.bool_()), ("spare", pa.bool_()),
+    ("kept", pa.list_(pa.struct([("share", pa.float64()), ("code", pa.string()), ("sized", pa.bool_()), ("accepted", pa.bool_())]))),
+])
+
+
+def _decide_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = []
+        for named, spare, kept in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            best = sorted(((c["share"], c["code"], c["sized"], c["accepted"]) for c in kept), key=lambda c: (-c[0], c[1]))
+            codes.append(Matcher.decide(named, spare, best))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string())], names=["tenant", "value", "code"])
+
+
 def items_of_lines(lines: DataFrame, labels: DataFrame, catalogue: DataFrame, by_code: DataFrame) -> DataFrame:
     """(line_id, item_code): the live item each unconfirmed line names, or UNMATCHED.
 

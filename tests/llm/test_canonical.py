@@ -1,4 +1,4 @@
-from orderloom.llm.canonical import NOTHING, UNMATCHED, Matcher, _decided, items_of_lines, learned, plain, split
+from orderloom.llm.canonical import NOTHING, UNMATCHED, Matcher, _decided, items_of_lines, learned, map_to_list, plain, split
 
 LIST = [
     ("V15", "Stavrik Gate Valve DN15 Brass", "Stavrik", "Gate Valve"), ("V20", "Stavrik Gate Valve DN20 Brass", "Stavrik", "Gate Valve"), ("V20B", "Stavrik Gate Valve DN20 Brass (Bulk)", "Stavrik", "Gate Valve"),
@@ -73,3 +73,25 @@ def test_what_is_learned_does_not_depend_on_how_much_is_confirmed(spark):
         aliases, fillers = learned(counts, 0, single)
         assert {r.word for r in rows} == aliases.keys() | fillers and len(rows) == len(fillers) + sum(map(len, aliases.values()))
         assert learned([x for r in rows for x in ((r.word, None, r["all"]), (r.word, r.target, r.n))], 0, single) == (aliases, fillers)
+
+
+def test_a_list_in_parts_gives_what_the_whole_one_gives(spark):
+    values = [n for _, n, _, _ in LIST] + ["Stav. Gate Valve DN 20 bronze (5 ctn)", "Gate Valve DN20 Brass", "Torvexa Gate Valve DN15 Brass", "Kalvik Shrimp Ring - 28 pcs", "as per our code", "Torvexa Pipe Clamp", "  "]
+    df = spark.createDataFrame([(t, v) for v in values * 2 for t in ("t", "u", "none")], "tenant string, value string")
+    entries = spark.createDataFrame([("t", *e) for e in LIST] + [("u", *e) for e in LIST[:3]], "tenant string, code string, name string, brand string, kind string")
+    taught = spark.createDataFrame([("t", f"injap Stavrik Gate DN20 Brass {i}", "V20") for i in range(4)], "tenant string, value string, code string")
+    every = []
+    for block_entries in (1000, 13, 4, 1):
+        rows = map_to_list(df, entries, taught, block_entries)
+        every.append(sorted((r.tenant, r.value, r.code) for r in rows.where("tenant != 'none'").collect()))
+        assert rows.columns == ["tenant", "value", "code"]
+    assert len(every[0]) == 2 * (len(values) - 1 - 1) and every[0] == every[1] == every[2] == every[3]  # one name twice, one blank
+    assert {c for t, v, c in every[0] if t == "t"} >= {"V15", "V20", "V20Z", "S2", UNMATCHED, NOTHING}
+
+
+def test_the_cosine_has_both_norms():
+    m = Matcher(LIST)
+    short, full = m.candidates("Stavrik Gate Valve DN20")[2], m.candidates("Stavrik Gate Valve DN20 Brass")[2]
+    assert {c for _, c, _, ok in full if ok} == {"V20"} and {c for s, c, _, _ in short if s == 1.0} == {"V20", "V20Z"}
+    m.COSINE = 0.999  # of an entry with a word that is not written it is below 1
+    assert not any(ok for *_, ok in m.candidates("Stavrik Gate Valve DN20")[2]) and any(ok for *_, ok in m.candidates("Stavrik Gate Valve DN20 Brass")[2])

@@ -62,7 +62,8 @@ def health_report(lines: DataFrame, events: DataFrame, items: DataFrame, first_d
     """One row per tenant, channel and day of the lines; measures of both grains.
 
     Lines count by their own day, events by theirs, and only events whose line
-    is reported. Copied rows count once. Latencies that are null or negative and
+    is reported. Lines without tenant, channel or day are reported, but no event
+    is theirs, since null equals nothing. Copied rows count once. Latencies that are null or negative and
     scores outside 0 to 1 are no measurements. first_day and last_day, both
     included, bound the report; unset, all days are in it. The day before the
     first is read for the comparison with the previous day.

@@ -7,18 +7,19 @@ from orderloom.operators import lanes as L
 from orderloom.operators import tfidf as X
 from pyspark.sql import functions as F
 
-CONV = '[{"uom":"Pcs","conversion_factor":1.0},{"uom":"box","conversion_factor":10.0}]'
+CONV = '[{"uom":"Pcs","conversion_factor":1.0},{"uom":"crate","conversion_factor":36.0}]'
+#: tenant, code, name, barcode, part number, disabled
 ITEMS = [
-    ("acme", "ACM-BOLT1", "TestBrand Hex Bolt M8", "11111111", "P-1", "0"), ("acme", "ACM-BOLT2", "TestBrand Hex Bolt M10", "22222222", "", "0"), ("acme", "ACM-BOLT3", "TestBrand Hex Bolt M12", "22222222", None, "0"),
-    ("acme", "ACM-OLD", "TestBrand Hex Bolt M14", "", "", "1"), ("nordic", "NRD-FISH1", "TestBrand Frozen Fish", "11111111", "", "0"), ("acme", "ACM-NUT", "TestBrand Nut", "", "", "0"), ("acme", "ACM-NUTB", "TestBrand Nut (Bulk)", "", "", "0"),
+    ("reef", "RF-7001", "Ostrava Lamp Holder E27", "90210001", "LH/27", "0"), ("reef", "RF-7002", "Ostrava Lamp Holder E14", "90210002", "", "0"), ("reef", "RF-7003", "Ostrava Cable Gland 16mm", "90210002", None, "0"),
+    ("reef", "RF-OFF9", "Ostrava Lamp Holder B22", "", "", "1"), ("dune", "DU-0450", "Ostrava Dimmer Knob", "90210001", "", "0"), ("reef", "RF-8800", "Ostrava Junction Lid", "", "", "0"), ("reef", "RF-8801", "Ostrava Junction Lid (Bulk)", "", "", "0"),
 ]
 CAT = "tenant string, item_code string, item_name string, description string, brand string, item_group string, stock_uom string, uom_conversions string, barcode string, manufacturer_part_no string, disabled string"
 LINE = "line_id string, tenant string, customer_id string, order_date string, raw_text string, buyer_sku string, raw_barcode string, uom_text string, notes string, key string"
 
 
 def items(spark):
-    rows = [(t, c, n, "", "TestBrand", "Hardware > Bolts", "Pcs", CONV, b, p, d) for t, c, n, b, p, d in ITEMS]
-    rows.append(("acme", "ACM-MISC", "PALLET DEPOSIT", "", "", "Hardware > Misc", "Pcs", "", "33333333", "", "0"))
+    rows = [(t, c, n, "", "Ostrava", "Electrical > Fittings", "Pcs", CONV, b, p, d) for t, c, n, b, p, d in ITEMS]
+    rows.append(("reef", "RF-FEE", "ROUNDING LINE", "", "", "Electrical > Misc", "Pcs", "", "90210007", "", "0"))
     return L.catalogue(spark.createDataFrame(rows + rows[:2], CAT))
 
 
@@ -27,31 +28,39 @@ def lines(spark, rows):
 
 
 def test_exact_lanes_stay_in_the_tenant_and_off_dead_entries(spark):
+    day = "2031-02-14"
     rows = [
-        ("1", "acme", "C1", "2026-06-01", "bolt", "", "1111 1111"), ("2", "acme", "C1", "2026-06-01", "ref 22222222 now", "", ""), ("3", "acme", "C1", "2026-06-01", "x", "acm-bolt1", None), ("4", "acme", "C1", "2026-06-01", "want ACM BOLT1 today", None, ""),
-        ("5", "acme", "C1", "2026-06-01", "P-1", "", ""), ("6", "acme", "C1", "2026-06-01", "ACM-OLD ACM-MISC 33333333", "", ""), ("7", "nordic", "C1", "2026-06-01", "11111111", "", ""), ("8", "acme", "C1", None, None, None, None),
+        ("spaced", "reef", "B5", day, "lamp", "", "9021 0001"), ("shared", "reef", "B5", day, "see label 90210002 please", "", ""), ("typed", "reef", "B5", day, "x", "rf-7001", None), ("inside", "reef", "B5", day, "six of RF 7001, thanks", None, ""),
+        ("part", "reef", "B5", day, "lh/27", "", ""), ("dead", "reef", "B5", day, "RF-OFF9 RF-FEE 90210007", "", ""), ("other", "dune", "B5", day, "90210001", "", ""), ("null", "reef", "B5", None, None, None, None),
     ]
     got = {tuple(r) for r in L.identifier_lanes(lines(spark, rows), items(spark)).collect()}
     assert got == {
-        ("1", "ACM-BOLT1", "barcode"), ("2", "ACM-BOLT2", "barcode"), ("2", "ACM-BOLT3", "barcode"), ("3", "ACM-BOLT1", "item_code"), ("4", "ACM-BOLT1", "item_code"), ("5", "ACM-BOLT1", "part_number"), ("7", "NRD-FISH1", "barcode"),
+        ("spaced", "RF-7001", "barcode"), ("shared", "RF-7002", "barcode"), ("shared", "RF-7003", "barcode"), ("typed", "RF-7001", "item_code"), ("inside", "RF-7001", "item_code"), ("part", "RF-7001", "part_number"), ("other", "DU-0450", "barcode"),
     }
 
 
+SKU = "tenant string, customer_id string, customer_sku string, item_code string, valid_from string, valid_to string, source string, confidence double"
+
+
 def test_aliases_conflicts_and_twins(spark):
     sku = spark.createDataFrame(
         [
-            ("acme", "C1", "SAFE", "ACM-BOLT1", "2026-01-01", "", "confirmed_order", 1.0), ("acme", "C1", "SAFE", "ACM-BOLT1", "2026-01-01", "", "manual_import", 1.0), ("acme", "C1", "EXPIRED", "ACM-BOLT1", "2025-01-01", "2025-12-31", "confirmed_order", 1.0),
-            ("acme", "C2", "OTHER", "ACM-BOLT1", "2026-01-01", None, "confirmed_order", 1.0), ("acme", "C1", "DISABLED", "ACM-OLD", "2026-01-01", None, "confirmed_order", 1.0), ("acme", "C1", "COLLIDE", "ACM-BOLT1", "2026-01-01", None, "s", 0.5), ("acme", "C1", "COLLIDE", "ACM-BOLT2", "2026-01-01", None, "s", 0.5),
+            ("reef", "B5", "a1", "RF-7001", "2031-01-01", "", "ledger", 0.9), ("reef", "B5", "A-1", "RF-7001", "2031/01/05", None, "phone", 0.9), ("reef", "B5", "a2", "RF-7001", "2030-01-01", "2031-02-13", "ledger", 1.0),
+            ("reef", "B6", "a3", "RF-7001", None, None, "ledger", 1.0), ("reef", "B5", "a4", "RF-OFF9", None, "2031-02-14", "ledger", 1.0), ("reef", "B5", "a5", "RF-7001", "20310214", None, "s", 0.4), ("reef", "B5", "a5", "RF-7002", "14.02.2031", None, "s", 0.5),
+            ("reef", "B5", "a6", "RF-7001", None, "until further notice", "s", 1.0), ("reef", "B5", "a6", "RF-7002", "soon", None, "s", 1.0), ("reef", "B5", "a7", "DU-0450", None, None, "s", 1.0),
         ],
-        "tenant string, customer_id string, customer_sku string, item_code string, valid_from string, valid_to string, source string, confidence double",
+        SKU,
     )
-    rows = [(k, "acme", "C1", "2026-06-01", "x", k, "") for k in ("SAFE", "EXPIRED", "OTHER", "DISABLED", "COLLIDE")]
+    rows = [(k, "reef", "B5", "2031-02-14", "x", k, "") for k in ("a1", "a2", "a3", "a4", "a5", "a6", "a7")] + [("no day", "reef", "B5", "some day", "x", "a1", "")]
     alias = L.alias_lane(lines(spark, rows), sku, items(spark))
-    assert {tuple(r) for r in alias.collect()} == {("SAFE", "ACM-BOLT1", True, 1.0, "manual_import"), ("DISABLED", "ACM-OLD", False, 1.0, "confirmed_order"), ("COLLIDE", "ACM-BOLT1", True, 0.5, "s"), ("COLLIDE", "ACM-BOLT2", True, 0.5, "s")}
+    # a6 has bounds that are no dates, a7 an item of another tenant
+    assert {tuple(r) for r in alias.collect()} == {("a1", "RF-7001", True, 0.9, "phone"), ("a4", "RF-OFF9", False, 1.0, "ledger"), ("a5", "RF-7001", True, 0.4, "s"), ("a5", "RF-7002", True, 0.5, "s")}
     lanes = L.identifier_lanes(lines(spark, rows), items(spark))
-    assert {tuple(r) for r in L.identifier_conflicts(lanes, alias).collect()} == {("COLLIDE", 2)}
-    assert {r.item_code for r in L.active_twins(items(spark)).collect()} == {"ACM-NUT", "ACM-NUTB"}
-    assert {(r.key, r.codes, r.current_codes) for r in L.alias_collisions(sku, F.lit("2026-06-01")).collect()} == {("collide", 2, 2)}
+    assert {tuple(r) for r in L.identifier_conflicts(lanes, alias).collect()} == {("a5", 2)}
+    assert {r.item_code for r in L.active_twins(items(spark)).collect()} == {"RF-8800", "RF-8801"}
+    codes = spark.createDataFrame([("reef", "B5", "z", "RF-7001", "2031-01-01", "", "s", 1.0), ("reef", "B5", "Z", "RF-7002", "2031-02-01", "2031-02-10", "s", 1.0)], SKU)
+    assert {(r.key, r.codes, r.current_codes) for r in L.alias_collisions(codes, F.lit("2031-02-10")).collect()} == {("z", 2, 2)}
+    assert {(r.key, r.codes, r.current_codes) for r in L.alias_collisions(codes, F.lit("2031-02-11")).collect()} == {("z", 2, 1)}
 
 
 def test_grams(spark):
@@ -84,15 +93,16 @@ def test_tfidf_against_plain_python(spark):
 
 
 def test_evidence_ranks_the_named_item_first(spark):
-    rows = [("1", "acme", "C1", "2026-06-01", "TestBrand hex bolt M8", "", ""), ("2", "acme", "C1", "2026-06-01", "TestBrand hex bolt", "", "11111111"), ("3", "nordic", "C1", "2026-06-01", "frozen fish", "", "")]
-    sku = spark.createDataFrame([], "tenant string, customer_id string, customer_sku string, item_code string, valid_from string, valid_to string, source string, confidence double")
-    found = EV.hybrid_candidates(lines(spark, rows), items(spark), sku)
-    top = {r.line_id: r for r in EV.ranked(EV.evidence(found, lines(spark, rows), items(spark))).where("place = 1").collect()}
-    assert top["1"].item_code == "ACM-BOLT1" and top["1"].size_overlap == 1.0 and top["1"].unit_match and top["1"].brand_match and not top["1"].attribute_conflict
-    assert top["2"].item_code == "ACM-BOLT1" and top["2"].barcode_exact and top["2"].score == 1.0 and top["2"].margin > 0
-    assert top["3"].item_code == "NRD-FISH1"
-    texts = {r.line_id: r.candidates for r in EV.prediction_rows(EV.ranked(EV.evidence(found, lines(spark, rows), items(spark)))).collect()}
-    assert texts["1"].startswith("ACM-BOLT1:0.") and texts["1"].count("|") == 2
+    rows = [("named", "reef", "B5", "2031-02-14", "ostrava lamp holder 16 e27", "", ""), ("coded", "reef", "B5", "2031-02-14", "ostrava lamp", "", "90210001"), ("sized", "reef", "B5", "2031-02-14", "ostrava cable gland 16mm", "", ""), ("knob", "dune", "B5", "2031-02-14", "dimmer knob", "", "")]
+    found = EV.hybrid_candidates(lines(spark, rows), items(spark), spark.createDataFrame([], SKU))
+    placed = EV.ranked(EV.evidence(found, lines(spark, rows), items(spark)))
+    top = {r.line_id: r for r in placed.where("place = 1").collect()}
+    assert top["named"].item_code == "RF-7001" and top["named"].unit_match and top["named"].brand_match
+    assert top["coded"].item_code == "RF-7001" and top["coded"].barcode_exact and top["coded"].score == 1.0 and top["coded"].margin > 0
+    assert top["sized"].item_code == "RF-7003" and top["sized"].size_overlap == 1.0 and not top["sized"].attribute_conflict
+    assert top["knob"].item_code == "DU-0450"
+    texts = {r.line_id: r.candidates for r in EV.prediction_rows(placed).collect()}
+    assert texts["sized"].startswith("RF-7003:0.") and texts["sized"].count("|") == 2
 
 
 def test_measures(spark):
@@ -166,8 +176,8 @@ def test_fuzzy_lane_is_the_brute_force_one(spark):
 def test_fuzzy_lane_alone_gives_candidates(spark):
     cat = items(spark)
     # shares no gram with any entry, so only the fuzzy lane has candidates: all live ones of the tenant
-    line = spark.createDataFrame([("1", "nordic", "c", "2026-01-01", "nzrf", "", "", "", "", "1")], LINE)
+    line = spark.createDataFrame([("1", "dune", "c", "2026-01-01", "nzrf", "", "", "", "", "1")], LINE)
     aliases = spark.createDataFrame([], "tenant string, customer_id string, customer_sku string, item_code string, valid_from string, valid_to string, source string, confidence double")
     found = EV.hybrid_candidates(line, cat, aliases)
     got = EV.evidence(found, line, cat).collect()
-    assert [(r.item_code, r.word, r.char) for r in got] == [("NRD-FISH1", 0.0, 0.0)] and got[0].fuzzy == round(Z.weighted_ratio(got[0].q, cat.where("tenant = 'nordic'").first().search_text) / 100, 8) > 0
+    assert [(r.item_code, r.word, r.char) for r in got] == [("DU-0450", 0.0, 0.0)] and got[0].fuzzy == round(Z.weighted_ratio(got[0].q, cat.where("tenant = 'dune'").first().search_text) / 100, 8) > 0

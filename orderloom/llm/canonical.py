@@ -250,6 +250,7 @@ class Matcher:
         self.aliases, self.fillers = aliases or {}, fillers
         vocabulary = vocabulary or Vocabulary(len(self.entries), *Vocabulary.parts(self.entries))
         self.weight, self.joined, self.index = vocabulary.weight, vocabulary.joined, vocabulary.index
+        self.told: dict[str, dict[str, float]] = {}
         self.by_word: dict[str, set[int]] = defaultdict(set)
         self.norms = [math.sqrt(sum(self.weight.get(w, 0.0) ** 2 for w in e.words)) for e in self.entries]
         for k, e in enumerate(self.entries):
@@ -258,6 +259,8 @@ class Matcher:
 
     def near(self, word: str) -> dict[str, float]:
         """Reference words by similarity: as typed, as learned, and two that are run together."""
+        if (known := self.told.get(word)) is not None:
+            return known
         out: dict[str, float] = {}
         # a word of the list stands for itself; what is only like it would be dropped below
         for w, s in {word: 1.0}.items() if word in self.weight else self.index.near(word).items():
@@ -271,9 +274,13 @@ class Matcher:
         # a word of the list stands for itself, another for what is nearly as near as the nearest
         best = max(out.values(), default=0)
         least = 0.95 if best >= 0.99 else best - self.NEARLY
-        return {w: s for w, s in out.items() if s >= least}
+        if len(self.told) > 200_000:
+            self.told.clear()
+        self.told[word] = {w: s for w, s in out.items() if s >= least}
+        return self.told[word]
 
-    def read(self, value: str) -> tuple[list[str], list[str], list[str], bool]:
+    @staticmethod
+    def read(value: str) -> tuple[list[str], list[str], list[str], bool]:
         """Words, measures, measures that may be a quantity, and whether bulk is written."""
         t = plain(value)
         spare: list[str] = []
@@ -290,22 +297,22 @@ class Matcher:
     def explain(self, words: list[str]) -> list[tuple[str, dict[str, float]]]:
         return [(w, self.near(w)) for w in words]
 
-    def match(self, value: str | None) -> str:
+    def match(self, value: str | None, parsed: tuple | None = None) -> str:
         """A code, UNMATCHED, or NOTHING if the value names nothing of the list."""
-        return self.decide(*self.candidates(value))
+        return self.decide(*self.candidates(value, parsed))
 
-    def candidates(self, value: str | None) -> tuple[bool, bool, list[tuple[float, str, bool, bool]]]:
+    def candidates(self, value: str | None, parsed: tuple | None = None) -> tuple[bool, bool, list[tuple[float, str, bool, bool]]]:
         """Whether the value names anything; whether a size may stand in its quantity; and the best entries.
 
         An entry is (share, code, sized, accepted): the share of the value's
         weight it explains, whether it has the size that may stand in the
         quantity, and whether its cosine and all words of the value allow it. Of
         sized ones and of others the two best are given, which is what a decision
-        over several parts of a list can need.
+        over several parts of a list can need. parsed: what read() gives, if known.
         """
         if not value or not value.strip():
             return False, False, []
-        words, measures, spare, bulk = self.read(value)
+        words, measures, spare, bulk = parsed or self.read(value)
         told = [(w, near) for w, near in self.explain(words) if not (w in self.fillers and max(near.values(), default=0) < 1)]
         # words typed in two parts, or fillers that are not learned yet, explain nothing
         strong = [(w, n) for w, n in told if max(n.values(), default=0) >= self.LEAST]
@@ -338,7 +345,7 @@ class Matcher:
             share = dot = 0.0
             for weight, (_, near) in zip(weights, strong, strict=True):
                 # of a word's readings each entry counts its best
-                s, w = max((near.get(x, 0.0), x) for x in e.words)
+                s, w = max(((s, x) for x, s in near.items() if x in e.slots), default=(0.0, ""))
                 if s >= self.LEAST:
                     share += weight * s
                     dot += weight * s * self.weight[w]
@@ -382,10 +389,9 @@ class Matcher:
         """Two words of the list are there, or one as it is written there."""
         return len(strong) > 1 or any(s >= 0.95 for _, near in strong for s in near.values())
 
-    def residue(self, value: str, code_words: tuple[str, ...]) -> tuple[list[str], list[str], bool]:
-        """Words of a confirmed value that its entry doesn't explain, words of the entry that
+    def residue(self, words: list[str], code_words: tuple[str, ...]) -> tuple[list[str], list[str], bool]:
+        """Of a confirmed value's words those that its entry doesn't explain, words of the entry that
         nothing in the value explains, and whether the value names the entry at all."""
-        words = self.read(value)[0]
         told = [(w, self.near(w)) for w in words]
         left = [w for w, near in told if max((near.get(x, 0) for x in code_words), default=0) < self.LEAST]
         open_ = [x for x in code_words if max((near.get(x, 0) for _, near in told), default=0) < self.LEAST]
@@ -476,15 +482,64 @@ def _vocabularies(entries: DataFrame) -> dict[str, tuple[int, dict[str, int], di
     return {t: (n, df[t], joined[t]) for t, n in sizes.items()}
 
 
+_READ = "tenant string, value string, asked boolean, words array<string>, measures array<string>, spare array<string>, bulk boolean, odd array<string>"
+_NEAR = "tenant string, word string, near array<struct<w: string, s: double>>"
+
+
+def _read_values(values: DataFrame, vocabularies: dict[str, tuple]) -> DataFrame:
+    """(tenant, value, asked, words, measures, spare, bulk, near): each value read once, with its words' similarities.
+
+    Distinct words that are not of the list are looked up once each in the index
+    of n-grams, and the table of what they are like is joined to the values.
+    """
+    spark = values.sparkSession
+    shared, key = spark.sparkContext.broadcast({t: (parts, {}, frozenset()) for t, parts in vocabularies.items()}), uuid.uuid4().hex
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            columns: list[list] = [[], [], [], [], []]
+            for tenant, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, *rest = Matcher.read(value)
+                known = model[tenant][0][1]
+                for column, v in zip(columns, (words, *rest, sorted({w for w in words if w not in known})), strict=True):
+                    column.append(v)
+            kinds = [pa.list_(pa.string())] * 3 + [pa.bool_(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["tenant", "value", "asked", "words", "measures", "spare", "bulk", "odd"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers = _matchers(key, shared.value, {})
+        kind = pa.list_(pa.struct([("w", pa.string()), ("s", pa.float64())]))
+        for batch in batches:
+            near = [[{"w": w, "s": s} for w, s in matchers[t].index.near(word).items()] for t, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, kind)], names=["tenant", "word", "near"])
+
+    parsed = cut(_spread(values.select("tenant", "value", "asked")).mapInArrow(read, _READ), "read")
+    words = parsed.select("tenant", "value", F.explode("odd").alias("word"))
+    near = cut(_spread(words.select("tenant", "word").distinct(), "word").mapInArrow(look_up, _NEAR), "near")
+    told = words.join(near, ["tenant", "word"]).groupBy("tenant", "value").agg(F.collect_list(F.struct("word", "near")).alias("near"))
+    ready = cut(parsed.drop("odd").join(told, ["tenant", "value"], "left"), "values")
+    shared.destroy()
+    return ready
+
+
+def _prime(matcher: Matcher, near: list[dict] | None) -> None:
+    """Gives a matcher the similarities that were looked up before."""
+    for x in near or ():
+        if x["word"] not in matcher.index.known:
+            matcher.index.known[x["word"]] = {n["w"]: n["s"] for n in x["near"]}
+
+
 def _learn(confirmed: DataFrame, entries: DataFrame, vocabularies: dict[str, tuple]) -> dict[str, tuple]:
     """tenant: (vocabulary parts, aliases, fillers), learned from all confirmed values in two rounds.
 
-    Each confirmed value is joined to its entry's name, so no list is needed.
+    confirmed: tenant, code, words, near. Each is joined to its entry's name, so
+    no list is needed.
     """
     spark = confirmed.sparkSession
     model = {t: (parts, {}, frozenset()) for t, parts in vocabularies.items()}
     named = entries.groupBy("tenant", "code").agg(F.max(F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("name", "brand", "kind")))).alias("e"))
-    rows = cut(confirmed.join(named, ["tenant", "code"]).select("tenant", "value", "code", "e.name", "e.brand", "e.kind"), "confirmed")
+    rows = cut(confirmed.join(named, ["tenant", "code"]).select("tenant", "value", "words", "near", "code", "e.name", "e.brand", "e.kind"), "confirmed")
     for single in (True, False):
         shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
@@ -493,13 +548,14 @@ def _learn(confirmed: DataFrame, entries: DataFrame, vocabularies: dict[str, tup
             words: dict[tuple, tuple] = {}
             total: Counter = Counter()
             for batch in batches:
-                for tenant, value, *fields in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                for tenant, _, typed, near, *fields in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                     name = tuple(fields)
                     if name not in words:
                         words[name] = Entry(*name).words
                     if not words[name]:
                         continue
-                    left, open_, is_named = matchers[tenant].residue(value, words[name])
+                    _prime(matchers[tenant], near)
+                    left, open_, is_named = matchers[tenant].residue(typed, words[name])
                     for w in set(left):
                         total[tenant, w, None] += 1
                         for o in set(open_) if is_named and open_ else {""}:
@@ -518,10 +574,13 @@ def _learn(confirmed: DataFrame, entries: DataFrame, vocabularies: dict[str, tup
     return model
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows over as many tasks as the session shuffles into: a value costs time, not bytes, so tasks go by rows."""
+def _spread(rows: DataFrame, by: str = "value") -> DataFrame:
+    """Rows over as many tasks as the session shuffles into: a value costs time, not bytes, so tasks go by rows.
+
+    By a hash, since a partitioning that is there already would be kept and its small partitions joined.
+    """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "tenant", "value")
+    return rows.repartition(n, F.xxhash64("tenant", by))
 
 
 def _blocks(entries: DataFrame, sizes: dict[str, int], most: int) -> Iterator[tuple[bool, dict[str, list[tuple]]]]:
@@ -567,14 +626,17 @@ def map_to_list(values: DataFrame, entries: DataFrame, confirmed: DataFrame, blo
     decision is made as from one list.
     """
     spark = values.sparkSession
-    distinct = _spread(values.select("tenant", "value").where("tenant IS NOT NULL AND trim(value) <> ''").distinct())
+    asked = values.select("tenant", "value").where("tenant IS NOT NULL AND trim(value) <> ''")
     entries = cut(entries.select("tenant", "code", "name", "brand", "kind").where("tenant IS NOT NULL AND code IS NOT NULL AND name IS NOT NULL").distinct(), "entries")
-    taught = confirmed.select("tenant", "value", "code").where("value IS NOT NULL AND code IS NOT NULL").distinct()
+    taught = confirmed.select("tenant", "value", "code").where("trim(value) <> '' AND code IS NOT NULL").distinct()
     vocabularies = _vocabularies(entries)
     sizes = {t: parts[0] for t, parts in vocabularies.items()}
     if not sizes:
-        return distinct.select("tenant", "value", F.lit(NOTHING).alias("code"))
-    model = _learn(taught, entries, vocabularies)
+        return asked.distinct().select("tenant", "value", F.lit(NOTHING).alias("code"))
+    every = asked.select("*", F.lit(True).alias("asked")).unionByName(taught.select("tenant", "value", F.lit(False).alias("asked")))
+    ready = _read_values(every.where(F.col("tenant").isin(list(sizes))).groupBy("tenant", "value").agg(F.bool_or("asked").alias("asked")), vocabularies)
+    model = _learn(taught.join(ready.select("tenant", "value", "words", "near"), ["tenant", "value"]), entries, vocabularies)
+    distinct = _spread(ready.where("asked").drop("asked"))
     whole, several = [], []
     single = sum(sizes.values()) <= block_entries
     for is_part, lists in _blocks(entries, sizes, block_entries):
@@ -583,13 +645,18 @@ def map_to_list(values: DataFrame, entries: DataFrame, confirmed: DataFrame, blo
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key, is_part=is_part) -> Iterator[pa.RecordBatch]:
             matchers = _matchers(key, *shared.value)
             for batch in batches:
-                pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                found, codes = [], []
+                for tenant, value, *parsed, near in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                    _prime(matchers[tenant], near)
+                    best = matchers[tenant].candidates(value, parsed)
+                    if is_part:
+                        kept = [dict(zip(("share", "code", "sized", "accepted"), c, strict=True)) for c in best[2]]
+                        found.append({"tenant": tenant, "value": value, "named": best[0], "spare": best[1], "kept": kept})
+                    else:
+                        codes.append(Matcher.decide(*best))
                 if is_part:
-                    found = [matchers[t].candidates(v) for t, v in pairs]
-                    rows = [{"tenant": t, "value": v, "named": n, "spare": s, "kept": [dict(zip(("share", "code", "sized", "accepted"), c, strict=True)) for c in k]} for (t, v), (n, s, k) in zip(pairs, found, strict=True)]
-                    yield pa.RecordBatch.from_pylist(rows, schema=_CANDIDATES_ARROW)
+                    yield pa.RecordBatch.from_pylist(found, schema=_CANDIDATES_ARROW)
                 else:
-                    codes = [matchers[t].match(v) for t, v in pairs]
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.string())], names=["tenant", "value", "code"])
 
         part = distinct.where(F.col("tenant").isin(list(lists))).mapInArrow(run, _CANDIDATES if is_part else "tenant string, value string, code string")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from orderloom.session import cut
 
-#: Bands end at these shares of the rows, from the top: each further one has as many rows as all before it.
-SHARES = [2.0**-k for k in range(20, 0, -1)]
+#: The first band ends at one of these shares of the rows, from the top; each further one has as many rows as all before it.
+SHARES = [2.0 ** (-k / 4) for k in range(80, 0, -1)]
 
 
 def band_edges(scored: DataFrame, n: int, low: float = 0.0) -> list[float]:
@@ -33,7 +33,8 @@ def band_edges(scored: DataFrame, n: int, low: float = 0.0) -> list[float]:
     if not found["rows"]:
         return [low]
     target = 2.0 * n * (found["groups"] or 1) / found["rows"]
-    edges = [e for x, e in zip(SHARES, found["at"], strict=True) if x >= target and e > low]
+    enough = [e for x, e in zip(SHARES, found["at"], strict=True) if x >= target]
+    edges = [e for e in enough[::4] if e > low]
     return sorted(set(edges), reverse=True) + [low]
 
 

@@ -51,3 +51,10 @@ def test_all_ties_and_empty(spark):
     assert run(spark, rows) == {("g", "i0", 1), ("g", "i1", 2), ("g", "i10", 3)}
     assert run(spark, []) == set()
     assert run(spark, [("g", "i", None, 1)]) == set()
+
+
+def test_groups_of_a_few_rows_have_two_bands(spark):
+    # ten rows a group, three wanted: twice what is needed is 0.6 of the rows
+    df = spark.range(20000).select((F.col("id") % 2000).alias("group_id"), (F.col("id") / 20000).alias("score"))
+    edges = band_edges(df, 3)
+    assert len(edges) == 2 and 0.3 < edges[0] < 0.45

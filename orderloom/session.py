@@ -26,11 +26,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (a local run, tests) a folder of this machine is
-    chosen and set.
+    Only where it is unset in a local run (tests) a folder of this machine is
+    chosen and set; a cluster without it is refused, since no folder of the
+    driver's machine is one that executors can read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='orderloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_forget, found)

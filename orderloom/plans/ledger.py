@@ -91,7 +91,7 @@ def metrics_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the accepted share, tenants drawn as wholes."""
-    per = _events(spark, sf_dir, "tenant_id", "accepted").where("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.sum((F.col("accepted") == 1).cast("long")).alias("hits"), F.count(F.lit(1)).alias("total"))
+    per = _events(spark, sf_dir, "tenant_id", "accepted").where("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.sum(F.when(F.col("accepted") == 1, 1).otherwise(0)).alias("hits"), F.count(F.lit(1)).alias("total"))
     # one row per tenant: the number of groups, not of rows, goes through one task
     from pyspark.sql import Window
 

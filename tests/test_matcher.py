@@ -158,6 +158,19 @@ def test_bootstrap_draws_with_replacement(spark):
     assert abs((b.high - b.low) / (2 * 1.96 * sd) - 1) < 0.2 and b.low < mean < b.high
 
 
+def test_bootstrap_of_a_tenant_without_any_answer_equals_its_sql(spark, tmp_path):
+    import duckdb
+    from orderloom.plans import ledger
+
+    # with one tenant every way to draw gives the same sample, so query and SQL must agree
+    rows = [(i, "t", "L", "X", "s", 0.5, 1, None, 5, "2026-01-01T00:00:00Z") for i in range(3)]
+    schema = "event_id long, tenant_id string, line_id string, item_code string, stage string, score double, rank int, accepted int, latency_ms int, created_at string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "match_event.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW match_event AS SELECT * FROM '{tmp_path}/match_event.parquet/*.parquet'")
+    assert [tuple(r) for r in ledger.bootstrap_ci(spark, str(tmp_path)).collect()] == con.execute(ledger.SQL["bootstrap_ci"]).fetchall() == [(0.0, 0.0)]
+
+
 def test_fuzzy_lane_is_the_brute_force_one(spark):
     words = "gate valve brass pipe clamp rubber lined hex bolt steel frozen fish cooked made for sold by the piece workshop".split()
     texts = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 2 + i % 13)) for i in range(60)] + ["", "gate", "xxxx"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.text import normalise_order_text, normalise_text, normalise_unit, numeric_tokens, overlap, token_set
-from orderloom.operators import fuzzy, lanes, tfidf
+from orderloom.operators import lanes, retrieval, tfidf
 from orderloom.operators.fuzzy import weighted_ratio_column
 from orderloom.session import cut
 
@@ -22,34 +22,45 @@ CONFLICT_COST, MOST = 0.25, 0.995
 
 
 def hybrid_candidates(lines: DataFrame, items: DataFrame, aliases: DataFrame, k: int = 20) -> DataFrame:
-    """(line_id, tenant, q, item_code, word, char, fuzzy_lane, a flag per exact lane, alias) of every lane's candidates.
+    """(line_id, tenant, q, item_code, word, char, fuzzy, a flag per exact lane, alias, identifier_conflict) of every lane's candidates.
 
     A word or character score that its lane didn't rank among its k best is 0;
-    fuzzy_lane is null there. Lines are joined to the lexical lanes by their
-    distinct query text.
+    fuzzy is the ratio whichever lane the candidate is of. The lexical lanes are
+    asked once per distinct query text and give a line one list; what its
+    identifiers name joins that list, so a candidate becomes a row only once.
     """
     items = cut(items, "items")
     live = items.where("enabled AND NOT misc")
     docs = live.select("tenant", "item_code", F.col("search_text").alias("text"))
     asked = cut(lines.select("line_id", "tenant", normalise_order_text(F.concat_ws(" ", "raw_text", "notes")).alias("q")), "asked")
-    lexical = tfidf.top_k(asked, docs, tfidf.word_grams, k).select("tenant", "q", "item_code", F.col("score").alias("word"), F.lit(0.0).alias("char"), F.lit(None).cast("double").alias("fuzzy_lane"))
-    lexical = lexical.unionByName(tfidf.top_k(asked, docs, tfidf.char_grams, k).select("tenant", "q", "item_code", F.lit(0.0).alias("word"), F.col("score").alias("char"), F.lit(None).cast("double").alias("fuzzy_lane")))
-    lexical = lexical.unionByName(fuzzy.top_k(asked, docs, k).select("tenant", "q", "item_code", F.lit(0.0).alias("word"), F.lit(0.0).alias("char"), F.col("score").alias("fuzzy_lane")))
-    lexical = lexical.groupBy("tenant", "q", "item_code").agg(*(F.max(c).alias(c) for c in ("word", "char", "fuzzy_lane")))
+    lexical = retrieval.search(asked, docs, {"word": tfidf.word_grams, "char": tfidf.char_grams}, k, fuzzy=True)
     exact = lanes.identifier_lanes(lines, items).groupBy("line_id", "item_code").agg(*(F.max(F.col("lane") == n).alias(f"{n}_exact") for n in ("item_code", "barcode", "part_number")))
     alias = lanes.alias_lane(lines, aliases, items).where("live").select("line_id", "item_code", F.lit(True).alias("alias_exact"), F.col("confidence").alias("alias_confidence"))
-    by_text = asked.join(lexical, ["tenant", "q"]).select("line_id", "item_code", "word", "char", "fuzzy_lane")
-    every = by_text.join(exact, ["line_id", "item_code"], "full").join(alias, ["line_id", "item_code"], "full")
     no, zero = F.lit(False), F.lit(0.0)
-    return every.join(asked, "line_id").select(
-        "line_id", "tenant", "q", "item_code", *(F.coalesce(c, zero).alias(c) for c in ("word", "char")), "fuzzy_lane",
-        *(F.coalesce(c, no).alias(c) for c in ("item_code_exact", "barcode_exact", "part_number_exact", "alias_exact")), F.coalesce("alias_confidence", zero).alias("alias_confidence"),
+    flags = ["item_code_exact", "barcode_exact", "part_number_exact", "alias_exact"]
+    named = exact.join(alias, ["line_id", "item_code"], "full").groupBy("line_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("item_code", F.struct(*(F.coalesce(c, no).alias(c) for c in flags), F.coalesce("alias_confidence", zero).alias("alias_confidence"))))).alias("named")
+    )
+    row = lambda code, word, char, ratio: F.struct(code.alias("item_code"), word.alias("word"), char.alias("char"), ratio.alias("fuzzy"))
+    listed = asked.join(lexical, ["tenant", "q"], "left").join(named, "line_id", "left")
+    of_lanes = F.transform(F.coalesce("found", F.expr("filter(found, x -> false)"), F.array().cast(lexical.schema["found"].dataType)), lambda c: row(c["item_code"], c["word"], c["char"], c["ratio"]))
+    others = F.array_except(F.coalesce(F.map_keys("named"), F.array().cast("array<string>")), F.transform("of_lanes", lambda c: c["item_code"]))
+    listed = cut(listed.withColumn("of_lanes", of_lanes).select("line_id", "tenant", "q", "named", "of_lanes", others.alias("others")), "listed")
+    # a ratio is computed here only where no lexical lane gives it; ratios are costly per row, so rows are spread whatever their size in bytes
+    n_parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = listed.select("line_id", "tenant", "q", "named", F.explode("others").alias("item_code")).join(live.select("tenant", "item_code", "search_text"), ["tenant", "item_code"]).repartition(n_parts, "line_id", "item_code")
+    more = more.select("line_id", "tenant", "q", "named", "item_code", zero.alias("word"), zero.alias("char"), F.round(weighted_ratio_column(F.col("q"), F.col("search_text")), 8).alias("fuzzy"))
+    every = listed.select("line_id", "tenant", "q", "named", F.inline("of_lanes")).unionByName(more)
+    flag = F.try_element_at("named", F.col("item_code"))
+    return every.select(
+        "line_id", "tenant", "q", "item_code", "word", "char", "fuzzy", *(F.coalesce(flag[c], no).alias(c) for c in flags), F.coalesce(flag["alias_confidence"], zero).alias("alias_confidence"),
+        # identifiers name live entries of the line's tenant only
+        (F.coalesce(F.size("named"), F.lit(0)) > 1).alias("identifier_conflict"),
     )
 
 
 def evidence(candidates: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
     """Adds the features of each candidate and its heuristic score and confidence."""
-    n_parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = lines.select(
         "line_id", normalise_text(F.col("raw_text")).alias("lt"), normalise_unit(F.col("uom_text")).alias("unit")
     ).select("line_id", "lt", "unit", token_set(F.col("lt")).alias("l_tokens"), numeric_tokens(F.col("lt")).alias("l_numbers"))
@@ -59,19 +70,14 @@ def evidence(candidates: DataFrame, lines: DataFrame, items: DataFrame) -> DataF
     item = (
         items.where("enabled AND NOT misc").withColumn("twins", F.count(F.lit(1)).over(w))
         .select(
-            "tenant", "item_code", "search_text", normalise_text(F.col("brand")).alias("brand_text"), units.alias("units"), (F.col("twins") > 1).alias("active_twin"),
+            "tenant", "item_code", normalise_text(F.col("brand")).alias("brand_text"), units.alias("units"), (F.col("twins") > 1).alias("active_twin"),
             token_set(normalise_text(F.element_at(F.split("item_group", ">"), -1))).alias("family"),
             numeric_tokens(normalise_text(F.concat_ws(" ", "item_name", "description"))).alias("i_numbers"),
         )
     )
     both = candidates.join(line, "line_id").join(item, ["tenant", "item_code"])
-    conflict = F.sum(F.col("_id").cast("int")).over(Window.partitionBy("line_id")) > 1
-    both = both.withColumn("_id", F.col("item_code_exact") | F.col("barcode_exact") | F.col("part_number_exact") | F.col("alias_exact")).withColumn("identifier_conflict", conflict)
-    # a ratio is computed only where the fuzzy lane gives none: ratios are costly per row, so rows are spread whatever their size in bytes
-    both = both.repartition(n_parts, "line_id", "item_code")
     rows = both.select(
-        *(c for c in candidates.columns if c != "fuzzy_lane"), "identifier_conflict", "active_twin",
-        F.coalesce("fuzzy_lane", weighted_ratio_column(F.when(F.col("fuzzy_lane").isNull(), F.col("q")), F.col("search_text"))).alias("fuzzy"),
+        *candidates.columns, "active_twin",
         ((F.col("brand_text") != "") & F.contains("lt", "brand_text")).alias("brand_match"), overlap(F.col("l_tokens"), F.col("family")).alias("family_overlap"),
         overlap(F.col("l_numbers"), F.col("i_numbers")).alias("size_overlap"), overlap(F.col("i_numbers"), F.col("l_numbers")).alias("size_completeness"),
         ((F.col("unit") != "") & F.array_contains("units", F.col("unit"))).alias("unit_match"), ((F.col("unit") != "") & ~F.array_contains("units", F.col("unit"))).alias("_unit_conflict"),

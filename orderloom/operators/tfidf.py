@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.session import cut
-
 
 def word_grams(text: Column) -> Column:
     """Words of two characters or more, and pairs of such words in a row."""
@@ -52,13 +50,8 @@ def top_k(queries: DataFrame, docs: DataFrame, grams, k: int = 20, scope: str =
     however many rows share them. docs: scope, doc, text. Only grams both sides
     share meet; ties by doc. Scores of 0 are no candidates.
     """
-    # written once: texts are long expressions that every use would compute again
-    docs, asked = cut(docs.select(scope, doc, "text"), "docs"), cut(queries.select(scope, query).distinct(), "queries").where(F.col(query) != "")
-    weights, idf = postings(docs, grams(F.col("text")), scope, doc)
-    tf = _counted(asked, [scope, query], grams(F.col(query)))
-    raw = tf.join(idf, [scope, "gram"]).select(scope, query, "gram", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy(scope, query).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    q = raw.join(norm, [scope, query]).select(scope, query, "gram", (F.col("x") / F.col("norm")).alias("qw"))
-    scores = q.join(weights, [scope, "gram"]).groupBy(scope, query, doc).agg(F.round(F.sum(F.col("qw") * F.col("w")), digits).alias("score"))
+    from orderloom.operators.retrieval import search
+
+    found = search(queries, docs, {"score": grams}, k, scope=scope, query=query, doc=doc, digits=digits).select(scope, query, F.inline("found"))
     w = Window.partitionBy(scope, query).orderBy(F.desc("score"), F.asc(doc))
-    return scores.where("score > 0").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.select(scope, query, doc, "score", F.row_number().over(w).alias("place"))

@@ -12,7 +12,7 @@ from orderloom.session import cut, table
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, items = table(spark, sf_dir, "order_lines_holdout").distinct(), catalogue(table(spark, sf_dir, "catalogue_item"))
+    lines, items = cut(table(spark, sf_dir, "order_lines_holdout").distinct(), "lines"), catalogue(table(spark, sf_dir, "catalogue_item"))
     found = ev.hybrid_candidates(lines, items, table(spark, sf_dir, "customer_sku_map"))
     return ev.ranked(ev.evidence(found, lines, items))
 

@@ -4,6 +4,7 @@ from orderloom.operators import evaluate as E
 from orderloom.operators import evidence as EV
 from orderloom.operators import fuzzy as Z
 from orderloom.operators import lanes as L
+from orderloom.operators import retrieval as RT
 from orderloom.operators import tfidf as X
 from pyspark.sql import functions as F
 
@@ -194,3 +195,31 @@ def test_fuzzy_lane_alone_gives_candidates(spark):
     found = EV.hybrid_candidates(line, cat, aliases)
     got = EV.evidence(found, line, cat).collect()
     assert [(r.item_code, r.word, r.char) for r in got] == [("DU-0450", 0.0, 0.0)] and got[0].fuzzy == round(Z.weighted_ratio(got[0].q, cat.where("tenant = 'dune'").first().search_text) / 100, 8) > 0
+
+
+def test_fuzzy_search_compares_few_texts_and_misses_none(spark, monkeypatch):
+    # 300 texts that share a word with the query; only near copies of it are compared, and long queries against texts of their length too
+    sizes, kinds = ["M6x25", "M8x30", "M10x60", "M12x80", "12mm", "0.75kg"], ["hex bolt", "carriage screw", "wood screw", "cable tie", "copper elbow"]
+    texts = [f"ostrava {kinds[i % 5]} {sizes[i % 6].lower()} grade {i % 10} {kinds[i % 5]} {sizes[i % 6].lower()} made for ostrava sold by the nos lot {i} workshop {kinds[i % 5]}" for i in range(300)]
+    asked = ["ostrava hex bolt m6x25 grade 0", "ostrva carriage screw m8x30 grad 1", "for", "bo", "xyz ostrava q", "nos lot 77 workshop wood screw ostrava m10x60 grade 7 wood screw m10x60 made for ostrava", "st ma", "hex lot 5 bolt m12x80 grade 5 ostrava hex bolt made for ostrava sold by the nos"]
+    entries, calls = Z.Entries([(f"C{i:03}", t) for i, t in enumerate(texts)]), []
+    real = Z.Entries._exact
+    monkeypatch.setattr(Z.Entries, "_exact", lambda self, q, shapes, rows, shares: (calls.append(len(rows)), real(self, q, shapes, rows, shares))[1])
+    for q in asked:
+        want = sorted((-round(Z.weighted_ratio(q, t) / 100, 8), f"C{i:03}") for i, t in enumerate(texts))[:20]
+        assert [(-v, c) for c, v in entries.top(q, 20)] == want
+    calls.clear()
+    entries.top(asked[1], 20)
+    assert sum(calls) < 100
+
+
+def test_candidates_of_all_blocks_equal_those_of_one(spark):
+    docs = L.catalogue(spark.createDataFrame([("t", f"C{i:02}", f"lamp holder {i % 7} e{i % 4} {'ring' * (i % 3)}", "", "B", "g", "Pcs", "", "", "", "0") for i in range(40)], CAT)).select("tenant", "item_code", F.col("search_text").alias("text"))
+    asked = spark.createDataFrame([("t", q) for q in ("lamp holder 3", "holder e2 ringring", "lmap hodler", "zz", "")] + [("u", "lamp")], "tenant string, q string")
+    lanes = {"word": X.word_grams, "char": X.char_grams}
+
+    def rows(block_entries):
+        return {(r.q, tuple(sorted(map(tuple, r.found)))) for r in RT.search(asked, docs, lanes, 5, fuzzy=True, block_entries=block_entries).collect()}
+
+    # a ratio that only a lexical lane asked for is the same in whichever block
+    assert rows(1000) == rows(15) and {q for q, _ in rows(1000)} == {"lamp holder 3", "holder e2 ringring", "lmap hodler", "zz"}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,38 +14,85 @@ from pyspark.sql import functions as F
 from orderloom.operators.evaluate import folds
 from orderloom.session import cut
 
+#: Newton steps end when no coefficient moves by more than this; most passes over the rows.
+NEAR, PASSES = 1e-9, 100
+
+
+@dataclass(frozen=True)
+class Logistic:
+    """Coefficients of the features, the intercept last."""
 
-def _vector(rows: DataFrame, features: list[str]) -> DataFrame:
-    plain = rows.select("*", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_f_{f}") for f in features))
-    made = VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_x").transform(plain)
-    return made.drop(*(f"_f_{f}" for f in features))
+    coefficients: list[float]
 
 
-def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", strength: float = 1.0) -> LogisticRegressionModel:
-    """L2 logistic regression with balanced classes whose intercept is penalised too.
+def _sums(rows: DataFrame, points: dict[int, np.ndarray], weights: dict[int, dict[float, float]]) -> dict[int, np.ndarray]:
+    """Weighted loss, gradient and curvature at each model's point over the rows outside its fold, summed by task: one pass for all models.
 
-    The intercept is a feature of 1. As a constant it would be left out, so
-    features and label of half the rows (by a hash) change sign, which leaves the
-    loss of a model without intercept as it is.
+    rows: features, label and fold as doubles, in this order.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    total = sum(counts.values())
-    if len(counts) < 2:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(points, 0.0)
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            every, label, fold = np.column_stack([*cols[:-2], np.ones(batch.num_rows)]), cols[-2], cols[-1]
+            for m, b in points.items():
+                x, y = every[fold != m], label[fold != m]
+                z, w = x @ b, np.where(y == 1, weights[m][1], weights[m][0])
+                p = 1 / (1 + np.exp(-z))
+                curve = x.T @ (x * (w * p * (1 - p))[:, None])
+                total[m] = total[m] + np.concatenate([[np.sum(w * (np.logaddexp(0, z) - y * z))], x.T @ (w * (p - y)), curve.ravel()])
+        have = [m for m in points if not np.isscalar(total[m])]
+        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int64()), pa.array([total[m].tolist() for m in have], pa.list_(pa.float64()))], names=["m", "v"])
+
+    out: dict[int, np.ndarray] = {}
+    for m, v in rows.mapInArrow(run, "m long, v array<double>").collect():
+        out[m] = out.get(m, 0.0) + np.array(v)
+    return out
+
+
+def _fit(rows: DataFrame, features: list[str], label: str, strength: float, left_out: list[int]) -> dict[int, Logistic]:
+    """A model per fold that is left out (one that no row has: of all rows), by Newton steps that are halved while the loss rises.
+
+    Rows that are left have one class only: no model of it.
+    """
+    ready = rows.select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, f in enumerate(features)), F.col(label).cast("double").alias("_label"), F.col("fold").cast("double").alias("_fold"))
+    counts = {(r[0], r[1]): r[2] for r in ready.groupBy("_fold", "_label").count().collect()}
+    of = {m: {k: sum(n for (fold, y), n in counts.items() if fold != m and y == k) for k in (0, 1)} for m in left_out}
+    weights = {m: {k: (c[0] + c[1]) / (2.0 * c[k]) for k in (0, 1)} for m, c in of.items() if c[0] and c[1]}
+    n = len(features) + 1
+    at = {m: np.zeros(n) for m in weights}
+    points, loss, way, done = dict(at), dict.fromkeys(weights, np.inf), {}, {}
+    for _ in range(PASSES):
+        if not points:
+            break
+        for m, v in _sums(ready, points, weights).items():
+            b = points[m]
+            now = v[0] + b @ b / (2 * strength)
+            if now <= loss[m] + 1e-12 * abs(now):
+                at[m], loss[m] = b, now
+                way[m] = -np.linalg.solve(v[1 + n :].reshape(n, n) + np.eye(n) / strength, v[1 : 1 + n] + b / strength)
+            else:
+                way[m] = way[m] / 2
+            points[m] = at[m] + way[m]
+            if np.abs(way[m]).max() < NEAR:
+                done[m] = Logistic([float(x) for x in points.pop(m)])
+    if points:
+        raise ValueError(f"no fit in {PASSES} passes")
+    return done
+
+
+def fit_logistic(rows: DataFrame, features: list[str], label: str = "label", strength: float = 1.0) -> Logistic:
+    """L2 logistic regression with balanced classes whose intercept is penalised too."""
+    found = _fit(rows.withColumn("fold", F.lit(0)), features, label, strength, [-1])
+    if not found:
         raise ValueError("a ranker needs both classes")
-    weight = F.when(F.col(label) == 1, total / (2.0 * counts[1])).otherwise(total / (2.0 * counts[0]))
-    x = _vector(rows, features).withColumn("_w", weight)
-    flip = F.pmod(F.xxhash64(*(F.col(c) for c in rows.columns)), F.lit(2)) == 1
-    sign = F.when(flip, -1.0).otherwise(1.0)
-    ready = x.withColumn("_a", F.concat(vector_to_array("_x"), F.array(F.lit(1.0)))).select(
-        array_to_vector(F.transform("_a", lambda v: v * sign)).alias("features"), F.when(flip, 1 - F.col(label)).otherwise(F.col(label)).cast("double").alias("label"), "_w"
-    )
-    model = LogisticRegression(fitIntercept=False, standardization=False, regParam=1.0 / (strength * total), elasticNetParam=0.0, maxIter=200, tol=1e-9, weightCol="_w")
-    return model.fit(ready)
-
-
-def predict(model: LogisticRegressionModel, rows: DataFrame, features: list[str], calibration: IsotonicRegressionModel | None = None, name: str = "probability") -> DataFrame:
+    return found[-1]
+
+
+def predict(model: Logistic, rows: DataFrame, features: list[str], calibration: IsotonicRegressionModel | None = None, name: str = "probability") -> DataFrame:
     """Adds the probability from 0 to 1: a dot product, calibrated where a calibration is given."""
-    weights = [float(w) for w in model.coefficients]
+    weights = model.coefficients
     dot = F.lit(weights[-1])
     for f, w in zip(features, weights, strict=False):
         dot = dot + F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * w
@@ -56,12 +105,8 @@ def predict(model: LogisticRegressionModel, rows: DataFrame, features: list[str]
 def out_of_fold(rows: DataFrame, features: list[str], group: str, label: str = "label", count: int = 3) -> DataFrame:
     """Each row's probability by a model that saw none of its group. A fold whose rest has one class is left out."""
     dealt = cut(rows.join(folds(rows, group, count).select(group, "fold"), group), "folds")
-    parts = []
-    for k in range(count):
-        rest = dealt.where(F.col("fold") != k)
-        if rest.select(label).distinct().count() < 2:
-            continue
-        parts.append(predict(fit_logistic(rest.drop("fold"), features, label), dealt.where(F.col("fold") == k), features))
+    models = _fit(dealt, features, label, 1.0, list(range(count)))
+    parts = [predict(models[k], dealt.where(F.col("fold") == k), features) for k in sorted(models)]
     if not parts:
         raise ValueError("no fold could be fitted")
     out = parts[0]
@@ -75,7 +120,7 @@ def calibrate(scored: DataFrame, label: str = "label") -> IsotonicRegressionMode
     return IsotonicRegression(isotonic=True, featuresCol="_raw", labelCol="_y").fit(scored.select(F.col("probability").alias("_raw"), F.col(label).cast("double").alias("_y")))
 
 
-def fit_calibrated(rows: DataFrame, features: list[str], group: str, label: str = "label") -> tuple[LogisticRegressionModel, IsotonicRegressionModel]:
+def fit_calibrated(rows: DataFrame, features: list[str], group: str, label: str = "label") -> tuple[Logistic, IsotonicRegressionModel]:
     """The ranker on all rows, calibrated by scores that no model made of its own group."""
     held = out_of_fold(rows, features, group, label)
     return fit_logistic(rows, features, label), calibrate(held, label)

@@ -11,8 +11,10 @@ from orderloom.operators.lanes import catalogue
 from orderloom.session import cut, table
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, items = cut(table(spark, sf_dir, "order_lines_holdout").distinct(), "lines"), catalogue(table(spark, sf_dir, "catalogue_item"))
+def _evidence(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Ranked candidates of all lines, or of those in ``only``: a line's rows depend on no other line."""
+    lines, items = table(spark, sf_dir, "order_lines_holdout").distinct(), catalogue(table(spark, sf_dir, "catalogue_item"))
+    lines = cut(lines if only is None else lines.join(only, "line_id", "left_semi"), "lines")
     found = ev.hybrid_candidates(lines, items, table(spark, sf_dir, "customer_sku_map"))
     return ev.ranked(ev.evidence(found, lines, items))
 
@@ -29,7 +31,7 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of labelled lines, 1 for the confirmed item; grouped by customer."""
     label = table(spark, sf_dir, "order_line_label").groupBy("line_id").agg(F.min("item_code").alias("truth"))
     lines = table(spark, sf_dir, "order_lines_holdout").select("line_id", F.concat_ws("|", "tenant", "customer_id").alias("group_key")).distinct()
-    rows = _evidence(spark, sf_dir).join(label, "line_id").join(lines, "line_id")
+    rows = _evidence(spark, sf_dir, label).join(label, "line_id").join(lines, "line_id")
     return cut(rows.select("line_id", "item_code", "group_key", *ev.FEATURES, (F.col("item_code") == F.col("truth")).cast("int").alias("label")), "training")
 
 

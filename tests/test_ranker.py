@@ -2,6 +2,7 @@ import math
 import random
 
 from orderloom.operators import ranker as R
+from pyspark.sql import functions as F
 
 
 def data(spark):
@@ -40,3 +41,39 @@ def test_one_class_is_refused(spark):
 
     with pytest.raises(ValueError):
         R.fit_logistic(data(spark)[1].where("label = 1"), ["x", "y"])
+
+
+def test_folds_are_fitted_together_in_few_jobs(spark):
+    rows, df = data(spark)
+    spark.sparkContext.setJobGroup("folds", "folds")
+    held = R.out_of_fold(df, ["x", "y"], "grp", count=5).cache()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds")) < 40
+    spark.sparkContext.setJobGroup("", "")
+    # each model is the exact optimum over the rows outside its fold
+    one = held.where("fold = 0").first()
+    alone = R.fit_logistic(held.where("fold <> 0").select("x", "y", "label"), ["x", "y"])
+    z = alone.coefficients[0] * one.x + alone.coefficients[1] * one.y + alone.coefficients[2]
+    assert abs(one.probability - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_only_lines_with_a_label_are_looked_up(spark, monkeypatch, tmp_path):
+    from orderloom.plans import ranking
+
+    line = "line_id string, tenant string, customer_id string"
+    spark.createDataFrame([(f"L{i}", "t", f"c{i % 3}") for i in range(30)], line).write.parquet(f"{tmp_path}/order_lines_holdout.parquet")
+    spark.createDataFrame([("L1", "A"), ("L2", "B")], "line_id string, item_code string").write.parquet(f"{tmp_path}/order_line_label.parquet")
+    spark.createDataFrame([("t", "A")], "tenant string, item_code string").write.parquet(f"{tmp_path}/catalogue_item.parquet")
+    spark.createDataFrame([("t", "A")], "tenant string, item_code string").write.parquet(f"{tmp_path}/customer_sku_map.parquet")
+    asked = []
+
+    def found(lines, items, aliases):
+        asked.extend(sorted(r.line_id for r in lines.collect()))
+        return lines
+
+    monkeypatch.setattr(ranking, "catalogue", lambda items: items)
+    monkeypatch.setattr(ranking.ev, "hybrid_candidates", found)
+    monkeypatch.setattr(ranking.ev, "evidence", lambda found, lines, items: found)
+    rows = lambda found: found.select("line_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("item_code"), *(F.lit(0.0).alias(c) for c in ranking.ev.FEATURES))
+    monkeypatch.setattr(ranking.ev, "ranked", rows)
+    got = {(r.line_id, r.item_code): r.label for r in ranking._training(spark, str(tmp_path)).collect()}
+    assert asked == ["L1", "L2"] and got == {("L1", "A"): 1, ("L1", "B"): 0, ("L2", "A"): 0, ("L2", "B"): 1}
